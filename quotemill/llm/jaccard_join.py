@@ -8,16 +8,19 @@ within a size band only; those just above a band's lower end show pieces in the
 documents hold come last in that order, which a table of 2**22 counters over all documents tells (broadcast, of one size
 whatever the input), so that a passage shared by a third of the documents doesn't make them meet.
 
-The documents that meet at a piece are compared with the smallest among them only; then, where a piece's documents aren't
+Documents with more shingles of their own than a link allows are set aside before. The documents that meet at a piece are compared with the smallest among them only; then, where a piece's documents aren't
 one component yet, across those components. So no link is lost and a group of copies needs a number of comparisons in
 proportion to its size. A comparison looks at dense parity sketches first and then counts the shingles of whole texts.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ CELLS = 1 << 22
 #: Up to so many ids (8 bytes each) of documents to compare are broadcast; beyond that they are joined by a shuffle.
 SMALL_IDS = 1_000_000
 _CHUNKS = 64
+#: Shingles that a task gathers before it sends them, and about as many come together in a group.
+SENT_KEYS = 2_000_000
+_SEVERAL = np.uint32(0xFFFFFFFF)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -249,6 +255,110 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return labels.groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as differences, byte by byte, so that the high bytes shrink to nothing."""
+    return zlib.compress(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _alive(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, alive for every row: can it link at all? In a link at 0.75 at most a quarter of a set is missing from the
+    other one, so a document with more shingles than that which no other row has is out.
+
+    Tasks send each shingle once for about two million of theirs: with its document's number, or as one that several of
+    their documents have. A group for each part of the hash range then finds those sent once in all, and a group for each
+    sending adds them up by document. The 32 bits that stand for a shingle within its part may make a few shingles look
+    shared; that lets documents pass, never drops them.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, total // 6 // SENT_KEYS)
+    kind = "part long, sending long, first binary, second binary"
+
+    def send(batches):
+        here, number = TaskContext.get().partitionId(), 0
+        ids: list = []
+        sets: list = []
+        held = 0
+
+        def flush():
+            nonlocal number, held
+            sending = here << 32 | number
+            sizes = np.array([len(x) for x in sets], np.int64)
+            number, held = number + 1, 0
+            rows = [(-1 - sending % parts, sending, pickle.dumps(list(ids)), sizes.tobytes())]
+            if sizes.any():
+                keys, doc = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+                order = np.argsort(keys, kind="stable")
+                keys, doc = keys[order], doc[order]
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                alone = np.diff(np.append(first, len(keys))) == 1
+                keys, doc = keys[first], np.where(alone, doc[first], _SEVERAL)
+                part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                low = (mix(keys) >> np.uint64(32)).astype(np.uint32)
+                for i in range(parts):
+                    if edge[i] < edge[i + 1]:
+                        x, d = low[edge[i] : edge[i + 1]], doc[edge[i] : edge[i + 1]].astype(np.uint16 if len(ids) < 0xFFFF else np.uint32)
+                        order = np.argsort(x, kind="stable")
+                        rows.append((i, sending, _packed(x[order]), d[order].tobytes()))
+            ids.clear()
+            sets.clear()
+            return dict(zip(("part", "sending", "first", "second"), map(list, zip(*rows))))
+
+        for batch in batches:
+            ids += batch.column("doc_id").to_pylist()
+            sets += (found := [shingles(t, size) for t in batch.column("text").to_pylist()])
+            held += sum(map(len, found))
+            if held >= SENT_KEYS:
+                yield flush()
+        if ids:
+            yield flush()
+
+    def once(table):
+        part = table.column("part")[0].as_py()
+        if part < 0:
+            return table.select(["sending", "first", "second"])
+        sendings = table.column("sending").to_pylist()
+        keys = [_unpacked(x) for x in table.column("first").to_pylist()]
+        docs = [np.frombuffer(x, np.uint16 if len(x) == 2 * len(k) else np.uint32) for x, k in zip(table.column("second").to_pylist(), keys)]
+        several = np.concatenate([d == np.iinfo(d.dtype).max for d in docs])
+        of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        same = every[order][1:] == every[order][:-1]
+        alone = np.ones(len(every), bool)
+        alone[order[1:][same]] = alone[order[:-1][same]] = False
+        alone &= ~several
+        doc = np.concatenate([d.astype(np.int64) for d in docs])
+        out = _by_sending(doc[alone], of[alone], len(keys))
+        return pa.table({"sending": pa.array(sendings, pa.int64()), "first": pa.array([None] * len(keys), pa.binary()), "second": pa.array(out, pa.binary())})
+
+    def add(table):
+        ids, sizes, alone = [], np.empty(0, np.int64), []
+        for first, second in zip(table.column("first").to_pylist(), table.column("second").to_pylist()):
+            if first is not None:
+                ids, sizes = pickle.loads(first), np.frombuffer(second, np.int64)
+            else:
+                alone.append(np.frombuffer(second, np.uint32))
+        unique = np.zeros(len(ids), np.int64)
+        for x in alone:
+            unique[: len(x)] += x
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes), "alive": pa.array((sizes > 0) & (100 * unique <= (100 - LEAST) * sizes))})
+
+    sent = per_batch(docs, send, kind)
+    found = sent.groupBy("part").applyInArrow(once, "sending long, first binary, second binary")
+    return found.groupBy("sending").applyInArrow(add, "doc_id long, n long, alive boolean")
+
+
+def _by_sending(doc: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
+    order = np.argsort(of, kind="stable")
+    cut = np.searchsorted(of[order], np.arange(1, n))
+    return [np.bincount(x).astype(np.uint32).tobytes() for x in np.split(doc[order], cut)]
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text), linking at Jaccard 0.75 or more.
 
@@ -258,20 +368,20 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     tune(docs.sparkSession)
     docs = columns(docs, doc_id="long", text="string")
-    known = docs.where("doc_id is not null")
+    sized = materialize(_alive(docs, size))
+    ids = sized.where("alive and doc_id is not null").select("doc_id").distinct()
+    few = ids.count() <= SMALL_IDS
+    known = materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("text is not null").withColumn("digest", F.md5("text")))
     # exact copies: one node for each text, the smallest doc_id that holds it
-    owned = materialize(known.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    first = owned.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(owned.join(first, "digest").select("doc_id", "node", "digest"))
+    first = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = materialize(known.select("doc_id", "digest").distinct().join(first, "digest"))
     keepers = nodes.where("doc_id = node").select("doc_id", "digest")
-    texts = known.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(keepers, ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "text")
-    texts = materialize(texts.where("text is not null"))
+    texts = materialize(known.join(keepers, ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "text").dropDuplicates())
     sketches = materialize(_sketches(texts, size))
     met = materialize(_meetings(sketches.where("n > 0")))
     pairs = materialize(met.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     links = materialize(_verified(pairs, sketches, texts, size))
-    sizes = sketches.where("n > 0").select("node", "n")
-    copies = nodes.where("doc_id <> node").join(sizes, "node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    copies = nodes.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     # pieces whose documents aren't one component yet: compare across their components
     label = components(links)
     of = met.where("many").join(label, "node", "left").select("piece", "node", "n", F.coalesce("component", "node").alias("component")).distinct()
@@ -282,19 +392,5 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(more, sketches, texts, size))
-    label = components(links.unionByName(copies))
-    out = nodes.join(sizes, "node", "left").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = materialize(out.select("doc_id", "digest", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
-    rows = owned.join(out, ["doc_id", "digest"]).select(F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("i"), "doc_id", "n_shingles", "component_id").drop("i")
-    return rows.unionByName(_unnamed(docs, size))
-
-
-def _unnamed(docs: DataFrame, size: int) -> DataFrame:
-    """Rows without doc_id."""
-
-    def work(batches):
-        for batch in batches:
-            n = [len(shingles(t, size)) for t in batch.column("text").to_pylist()]
-            yield {"doc_id": [None] * len(n), "n_shingles": n, "component_id": [None] * len(n)}
-
-    return per_batch(docs.where("doc_id is null"), work, "doc_id long, n_shingles long, component_id long")
+    label = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
+    return sized.join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
