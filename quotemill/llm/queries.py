@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import language_id, quality, toxicity
 from .decontaminate import leaks
 from .jaccard_join import jaccard_components
 from .merkle import ORACLE_SQL as MERKLE_SQL
@@ -17,6 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.grade_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +42,10 @@ def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
