@@ -9,7 +9,7 @@ documents hold come last in that order, which a table of 2**22 counters over all
 whatever the input), so that a passage shared by a third of the documents doesn't make them meet.
 
 Documents with more shingles of their own than a link allows are set aside before. The documents that meet at a piece are compared with the smallest among them only; then, where a piece's documents aren't
-one component yet, across those components. So no link is lost and a group of copies needs a number of comparisons in
+one component yet, across those components, by their leaders first. So no link is lost and a group of copies needs a number of comparisons in
 proportion to its size. A comparison looks at dense parity sketches first and then counts the shingles of whole texts.
 """
 
@@ -148,8 +148,14 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
     return per_batch(texts, work, "node long, n long, sketch binary, pieces array<long>")
 
 
+def spare(n, own):
+    """Of a linked pair, the sum of this is never under 0: all shingles that only one of them has are in the difference."""
+    return (100 - LEAST) * n - (100 + LEAST) * own
+
+
 def _meetings(shown: DataFrame) -> DataFrame:
-    """For each piece that several documents show: (first = its smallest document, node), and whether there are over two.
+    """For each piece that several documents show: (first = its smallest document, node), whether that pair can link by sizes
+    and own shingles, and whether there are over two.
 
     One shuffle by piece; each task then streams over its sorted rows and holds one row at a time.
     """
@@ -159,10 +165,11 @@ def _meetings(shown: DataFrame) -> DataFrame:
         many = 0
         held = None  # the piece's second document, until a third one comes
         for batch in batches:
-            out: dict[str, list] = {"piece": [], "first": [], "node": [], "n": [], "many": []}
+            out: dict[str, list] = {"piece": [], "first": [], "node": [], "n": [], "own": [], "can": [], "many": []}
 
-            def put(*row):
-                for name, x in zip(out, row):
+            def put(row, many):
+                can = 100 * min(row[1], first[1]) >= LEAST * max(row[1], first[1]) and spare(*row[1:]) + spare(*first[1:]) >= 0
+                for name, x in zip(out, (key, first[0], *row, can, many)):
                     out[name].append(x)
 
             keys = batch.column("piece").to_numpy(zero_copy_only=False)
@@ -171,39 +178,42 @@ def _meetings(shown: DataFrame) -> DataFrame:
             use[edge] = use[edge + 1] = True
             use[:1] = use[-1:] = True
             at = np.flatnonzero(use)
-            nodes, sizes = (batch.column(c).to_numpy(zero_copy_only=False)[at].tolist() for c in ("node", "n"))
-            for k, node, n in zip(keys[at].tolist(), nodes, sizes):
+            rows = zip(*(batch.column(c).to_numpy(zero_copy_only=False)[at].tolist() for c in ("node", "n", "own")))
+            for k, row in zip(keys[at].tolist(), rows):
                 if k != key:
                     if held:
-                        put(key, first[0], *held, False)
-                    key, first, held, many = k, (node, n), None, 1
-                elif node != (held or first)[0]:
+                        put(held, False)
+                    key, first, held, many = k, row, None, 1
+                elif row[0] != (held or first)[0]:
                     many += 1
                     if many == 2:
-                        held = (node, n)
+                        held = row
                     else:
                         if held:
-                            put(key, first[0], *first, True)
-                            put(key, first[0], *held, True)
+                            put(first, True)
+                            put(held, True)
                         held = None
-                        put(key, first[0], node, n, True)
+                        put(row, True)
             yield out
         if held:
-            yield {"piece": [key], "first": [first[0]], "node": [held[0]], "n": [held[1]], "many": [False]}
+            out = {name: [] for name in out}
+            put(held, False)
+            yield out
 
-    rows = shown.select("node", F.col("n").cast("int").alias("n"), F.explode("pieces").alias("piece"))
+    rows = shown.select("node", F.col("n").cast("int").alias("n"), F.col("own").cast("int").alias("own"), F.explode("pieces").alias("piece"))
     dealt = rows.repartition("piece").sortWithinPartitions("piece", "node")
-    return per_batch(dealt, work, "piece long, first long, node long, n int, many boolean")
+    return per_batch(dealt, work, "piece long, first long, node long, n int, own int, can boolean, many boolean")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that link: by dense sketches first, then by whole sets."""
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, least: int = LEAST) -> DataFrame:
+    """Of distinct pairs (a, b), those at a similarity of `least` hundredths or more, with their distance (1 - Jaccard):
+    by dense sketches first, then by whole sets."""
 
     def near(batches):
         for batch in batches:
             x = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             keep = [
-                100 * min(m, n) >= LEAST * max(m, n) and hamming(p, q) <= (m + n) * (100 - LEAST) // (100 + LEAST)
+                100 * min(m, n) >= least * max(m, n) and hamming(p, q) <= (m + n) * (100 - least) // (100 + least)
                 for m, n, p, q in zip(x["n_a"], x["n_b"], x["sketch_a"], x["sketch_b"])
             ]
             yield {c: [v for v, k in zip(x[c], keep) if k] for c in ("a", "b")}
@@ -211,15 +221,18 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
     def same(batches):
         last: tuple = (None, None)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i, (text_a, text_b) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())):
+            out: dict[str, list] = {"a": [], "b": [], "distance": []}
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")))
+            for a, b, text_a, text_b in rows:
                 if last[0] != text_a:
                     last = (text_a, shingles(text_a, size))
                 one, two = last[1], shingles(text_b, size)
                 both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= LEAST * (len(one) + len(two) - both))
-            yield {"a": [v for v, k in zip(a, keep) if k], "b": [v for v, k in zip(b, keep) if k]}
+                every = len(one) + len(two) - both
+                if both and 100 * both >= least * every:
+                    for name, x in zip(out, (a, b, 1 - both / every)):
+                        out[name].append(x)
+            yield out
 
     def beside(pairs, table, *names):
         for side in ("a", "b"):
@@ -230,7 +243,44 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
     ids = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     few = ids.count() <= SMALL_IDS
     texts = materialize(texts.join(F.broadcast(ids) if few else ids, "node", "left_semi"))
-    return per_batch(beside(close, texts, "text"), same, "a long, b long").distinct()
+    found = per_batch(beside(close, texts, "text"), same, "a long, b long, distance double")
+    return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def _across(met: DataFrame, links: DataFrame, done: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links between the components that show one piece, without comparing all their documents.
+
+    1 - Jaccard is a metric. Each document stands near one that it links to, its leader, or is its own; a leader's radius is
+    the largest distance to its followers. Where two leaders are further apart than 0.25 and both radii, no follower of one
+    links to a follower of the other; only the rest is compared document by document. Two documents whose own shingles rule
+    a link out (`spare`) never meet here.
+    """
+    label = components(links)
+    led = links.groupBy("b").agg(F.min(F.struct("a", "distance")).alias("to")).select(F.col("b").alias("node"), F.col("to.a").alias("leader"), F.col("to.distance").alias("radius"))
+    spared = F.lit(100 - LEAST) * F.col("n") - F.lit(100 + LEAST) * F.col("own")
+    of = met.where("many").select("piece", "node", "n", "own").distinct().join(label, "node", "left").join(led, "node", "left")
+    of = of.select("piece", "node", "n", spared.alias("spare"), F.coalesce("component", "node").alias("component"), F.coalesce("leader", "node").alias("leader"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    open_ = of.groupBy("piece").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("piece")
+    left = materialize(of.join(open_, "piece"))
+    groups = left.groupBy("piece", "leader", "component").agg(F.max("spare").alias("spare"), F.max("radius").alias("radius"))
+
+    def meet(rows, *keys):
+        """Pairs of rows of two components in a piece whose spare adds up to 0 or more: one of them has 0 or more."""
+        other = rows.select("piece", *(F.col(c).alias(f"{c}2") for c in rows.columns if c != "piece"))
+        return rows.where("spare >= 0").join(other, ["piece", *keys]).where("component <> component2 and spare + spare2 >= 0 and (spare2 < 0 or component < component2)")
+
+    leaders = meet(groups).select(F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b")).distinct()
+    radii = left.groupBy("leader").agg(F.max("radius").alias("radius"))
+    apart = _verified(materialize(leaders), sketches, texts, size, max(1, LEAST - 2 * (100 - LEAST)))
+    for side in ("a", "b"):
+        apart = apart.join(radii.select(F.col("leader").alias(side), F.col("radius").alias(f"radius_{side}")), side)
+    apart = materialize(apart.where(f"distance <= {1 - LEAST / 100} + radius_a + radius_b + 1e-9").select("a", "b"))
+    both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = left.where("spare >= 0").join(both.select(F.col("a").alias("leader"), F.col("b").alias("leader2")), "leader")
+    two = left.select("piece", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "spare", "component", "leader")))
+    more = one.join(two, ["piece", "leader2"]).where(f"component <> component2 and spare + spare2 >= 0 and 100 * n >= {LEAST} * n2 and 100 * n2 >= {LEAST} * n")
+    more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    return _verified(materialize(more.join(done, ["a", "b"], "left_anti")), sketches, texts, size)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -265,7 +315,7 @@ def _unpacked(x: bytes) -> np.ndarray:
 
 
 def _alive(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, alive for every row: can it link at all? In a link at 0.75 at most a quarter of a set is missing from the
+    """doc_id, n, own (shingles that no other row has), alive for every row: can it link at all? In a link at 0.75 at most a quarter of a set is missing from the
     other one, so a document with more shingles than that which no other row has is out.
 
     Tasks send each shingle once for about two million of theirs: with its document's number, or as one that several of
@@ -346,11 +396,11 @@ def _alive(docs: DataFrame, size: int) -> DataFrame:
         unique = np.zeros(len(ids), np.int64)
         for x in alone:
             unique[: len(x)] += x
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes), "alive": pa.array((sizes > 0) & (100 * unique <= (100 - LEAST) * sizes))})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes), "own": pa.array(unique), "alive": pa.array((sizes > 0) & (100 * unique <= (100 - LEAST) * sizes))})
 
     sent = per_batch(docs, send, kind)
     found = sent.groupBy("part").applyInArrow(once, "sending long, first binary, second binary")
-    return found.groupBy("sending").applyInArrow(add, "doc_id long, n long, alive boolean")
+    return found.groupBy("sending").applyInArrow(add, "doc_id long, n long, own long, alive boolean")
 
 
 def _by_sending(doc: np.ndarray, of: np.ndarray, n: int) -> list[bytes]:
@@ -377,20 +427,14 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     nodes = materialize(known.select("doc_id", "digest").distinct().join(first, "digest"))
     keepers = nodes.where("doc_id = node").select("doc_id", "digest")
     texts = materialize(known.join(keepers, ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "text").dropDuplicates())
-    sketches = materialize(_sketches(texts, size))
+    # without the copies and those set aside, more documents stand alone
+    again = _alive(texts.withColumnRenamed("node", "doc_id"), size).where("alive").groupBy("doc_id").agg(F.min("own").alias("own"))
+    again = materialize(again.withColumnRenamed("doc_id", "node"))
+    sketches = materialize(_sketches(texts.join(again, "node", "left_semi"), size).join(again, "node"))
     met = materialize(_meetings(sketches.where("n > 0")))
-    pairs = materialize(met.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = materialize(met.where("can and first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     links = materialize(_verified(pairs, sketches, texts, size))
     copies = nodes.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    # pieces whose documents aren't one component yet: compare across their components
-    label = components(links)
-    of = met.where("many").join(label, "node", "left").select("piece", "node", "n", F.coalesce("component", "node").alias("component")).distinct()
-    open_ = of.groupBy("piece").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("piece")
-    left = materialize(of.join(open_, "piece"))
-    other = left.select("piece", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component")))
-    more = left.join(other, "piece").where(f"component < component2 and 100 * n >= {LEAST} * n2 and 100 * n2 >= {LEAST} * n")
-    more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(more, sketches, texts, size))
+    links = links.unionByName(_across(met, links, pairs, sketches, texts, size)).select("a", "b")
     label = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
     return sized.join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
