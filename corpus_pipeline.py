@@ -1,14 +1,53 @@
-"""From raw documents to packed training sequences; each stage's result is written and read again."""
+"""From raw documents to packed training sequences.
+
+Each stage works on all rows that the one before it kept, and its result is written as Parquet and read again. What a stage
+decides takes effect at once: rejected documents, copies and documents with benchmark passages go, personal data is masked.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quotemill.llm import decontaminate, jaccard_join, language_id, packing, pii
 from quotemill.llm._shared import work_dir
 
-STAGES: list = []
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: learns from all rows with a lang; rows whose text no centroid is near to, or without a letter, go."""
+    return language_id.identified(docs, language_id.fit(docs))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of documents that link (Jaccard of five-word shingles 0.75 or more) the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents with a passage of the benchmark go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: identifiers give way to their kind in brackets; n_chars follows the text."""
+    return pii.mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: one row for each sequence, with its token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("near_copies", keep_one_of_each),
+    ("benchmark", drop_benchmark_passages),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+#: Language ID, edit matching, deobfuscation and tokenizing aren't expressible in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -47,6 +47,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many ids (8 bytes each) are broadcast; beyond that they are joined by a shuffle.
+SMALL_IDS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """ids (one column, different ones) with a broadcast hint if there are few enough."""
+    return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id isn't in ids(doc_id); rows without doc_id stay."""
+    ids = materialize(ids.where("doc_id is not null").distinct())
+    return docs.join(small(ids), "doc_id", "left_anti").select(*docs.columns)
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)

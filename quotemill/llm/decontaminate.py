@@ -14,9 +14,8 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._shared import columns, per_batch, tune
+from ._shared import columns, per_batch, tune, without
 
 #: Edits for each normalised character of an item.
 SHARE = 0.07
@@ -173,5 +172,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of docs, all columns, that hold no passage of the benchmark; rows without doc_id stay."""
-    ids = leaks(docs, benchmark, share).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, leaks(docs, benchmark, share).select("doc_id"))

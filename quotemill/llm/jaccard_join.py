@@ -23,15 +23,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._shared import chain, columns, lists, materialize, mix, per_batch, signed, tune, word_hashes
+from ._shared import chain, columns, lists, materialize, mix, per_batch, signed, small, tune, without, word_hashes
 
 SHINGLE = 5
 #: Similarity, in hundredths.
 LEAST = 75
 CELLS = 1 << 22
-#: Up to so many ids (8 bytes each) of documents to compare are broadcast; beyond that they are joined by a shuffle.
-SMALL_IDS = 1_000_000
 _CHUNKS = 64
 #: Shingles that a task gathers before it sends them, and about as many come together in a group.
 SENT_KEYS = 2_000_000
@@ -241,8 +240,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
 
     close = materialize(per_batch(beside(pairs, sketches, "n", "sketch"), near, "a long, b long"))
     ids = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = ids.count() <= SMALL_IDS
-    texts = materialize(texts.join(F.broadcast(ids) if few else ids, "node", "left_semi"))
+    texts = materialize(texts.join(small(ids), "node", "left_semi"))
     found = per_batch(beside(close, texts, "text"), same, "a long, b long, distance double")
     return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
@@ -420,8 +418,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     docs = columns(docs, doc_id="long", text="string")
     sized = materialize(_alive(docs, size))
     ids = sized.where("alive and doc_id is not null").select("doc_id").distinct()
-    few = ids.count() <= SMALL_IDS
-    known = materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("text is not null").withColumn("digest", F.md5("text")))
+    known = materialize(docs.join(small(ids), "doc_id", "left_semi").where("text is not null").withColumn("digest", F.md5("text")))
     # exact copies: one node for each text, the smallest doc_id that holds it
     first = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = materialize(known.select("doc_id", "digest").distinct().join(first, "digest"))
@@ -438,3 +435,18 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     links = links.unionByName(_across(met, links, pairs, sketches, texts, size)).select("a", "b")
     label = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
     return sized.join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the document with the smallest doc_id.
+
+    Of rows that share a doc_id the one with the smallest text stays (nulls first); rows without doc_id all stay.
+    """
+    found = materialize(jaccard_components(docs, size))
+    rows = without(docs, found.where("component_id <> doc_id").select("doc_id"))
+    again = materialize(found.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return rows
+    order = Window.partitionBy("doc_id").orderBy("text")
+    first = docs.join(small(again), "doc_id", "left_semi").withColumn("_order", F.row_number().over(order)).where("_order = 1")
+    return without(rows, again).unionByName(first.select(*docs.columns))

@@ -9,6 +9,7 @@ largest cosine; it is rejected when that cosine is under the centroid's floor, o
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -160,3 +161,15 @@ def identify_held_out(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataF
     """Learns from the documents whose crc32(doc_id) mod `modulus` isn't `held` and predicts all."""
     model = fit(docs.where(bucket_of("doc_id", modulus) != held))
     return identify(docs, model).withColumn("held_out", bucket_of("doc_id", modulus) == held)
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, that aren't rejected."""
+    tune(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        return pd.Series(~sent.value.predict(texts.tolist())[2], index=texts.index)
+
+    return docs.where(known("text")).select(*docs.columns)

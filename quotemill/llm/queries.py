@@ -12,12 +12,18 @@ from .merkle import fingerprints
 from .ngram_bloom_lm import score_held_out
 from .packing import pack
 from .pii import find_pii
+from .quotation_links import ORACLE_SQL as QUOTATION_SQL
+from .quotation_links import link_quotations
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(_table(spark, sf_dir, "conversations"))
+
+
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_merkle_fingerprints": MERKLE_SQL}
+    return {"op1_quotation_links": QUOTATION_SQL, "op7_merkle_fingerprints": MERKLE_SQL}
