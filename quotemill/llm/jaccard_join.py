@@ -34,6 +34,8 @@ CELLS = 1 << 22
 _CHUNKS = 64
 #: Shingles that a task gathers before it sends them, and about as many come together in a group.
 SENT_KEYS = 2_000_000
+#: Followers of a smaller group that meet a larger group's followers at once.
+BLOCK = 64
 _SEVERAL = np.uint32(0xFFFFFFFF)
 
 
@@ -249,8 +251,8 @@ def _across(met: DataFrame, links: DataFrame, done: DataFrame, sketches: DataFra
     """Links between the components that show one piece, without comparing all their documents.
 
     1 - Jaccard is a metric. Each document stands near one that it links to, its leader, or is its own; a leader's radius is
-    the largest distance to its followers. Where two leaders are further apart than 0.25 and both radii, no follower of one
-    links to a follower of the other; only the rest is compared document by document. Two documents whose own shingles rule
+    the largest distance to its followers. Where two leaders are further apart than 0.25 and both followers' distances to them,
+    the followers don't link; only the rest is compared document by document. Two documents whose own shingles rule
     a link out (`spare`) never meet here.
     """
     label = components(links)
@@ -260,27 +262,63 @@ def _across(met: DataFrame, links: DataFrame, done: DataFrame, sketches: DataFra
     of = of.select("piece", "node", "n", spared.alias("spare"), F.coalesce("component", "node").alias("component"), F.coalesce("leader", "node").alias("leader"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
     open_ = of.groupBy("piece").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("piece")
     left = materialize(of.join(open_, "piece"))
-    groups = left.groupBy("piece", "leader", "component").agg(F.max("spare").alias("spare"), F.max("radius").alias("radius"))
-
-    def meet(rows, *keys):
-        """Pairs of rows of two components in a piece whose spare adds up to 0 or more: one of them has 0 or more."""
-        other = rows.select("piece", *(F.col(c).alias(f"{c}2") for c in rows.columns if c != "piece"))
-        return rows.where("spare >= 0").join(other, ["piece", *keys]).where("component <> component2 and spare + spare2 >= 0 and (spare2 < 0 or component < component2)")
-
-    leaders = meet(groups).select(F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b")).distinct()
-    radii = left.groupBy("leader").agg(F.max("radius").alias("radius"))
+    members = left.select("leader", "node", "n", "spare", "component", "radius").distinct()
+    leads = members.groupBy("leader").agg(F.max("spare").alias("spare"), F.max("radius").alias("reach"))
+    # of pieces that the same leaders show, one is enough
+    shown = left.select("piece", "leader", "component").distinct()
+    same = shown.groupBy("piece").agg(F.bit_xor(F.xxhash64("leader")).alias("one"), F.bit_xor(F.xxhash64("leader", F.lit(1))).alias("two"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(shown.join(same.groupBy("one", "two", "n").agg(F.min("piece").alias("piece")).select("piece"), "piece").join(leads.select("leader", "spare"), "leader"))
+    other = groups.select("piece", *(F.col(c).alias(f"{c}2") for c in ("leader", "spare", "component")))
+    # own shingles leave room only if one of the two has spare 0 or more
+    meet = groups.where("spare >= 0").join(other, "piece").where("component <> component2 and spare + spare2 >= 0 and (spare2 < 0 or component < component2)")
+    leaders = meet.select(F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b")).distinct()
     apart = _verified(materialize(leaders), sketches, texts, size, max(1, LEAST - 2 * (100 - LEAST)))
     for side in ("a", "b"):
-        apart = apart.join(radii.select(F.col("leader").alias(side), F.col("radius").alias(f"radius_{side}")), side)
-    apart = materialize(apart.where(f"distance <= {1 - LEAST / 100} + radius_a + radius_b + 1e-9").select("a", "b"))
-    both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = left.where("spare >= 0").join(both.select(F.col("a").alias("leader"), F.col("b").alias("leader2")), "leader")
-    two = left.select("piece", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "spare", "component", "leader")))
-    more = one.join(two, ["piece", "leader2"]).where(f"component <> component2 and spare + spare2 >= 0 and 100 * n >= {LEAST} * n2 and 100 * n2 >= {LEAST} * n")
-    more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        apart = apart.join(leads.select(F.col("leader").alias(side), F.col("reach").alias(f"reach_{side}")), side)
+    link = 1 - LEAST / 100 + 1e-9
+    apart = materialize(apart.where(f"distance <= {link} + reach_a + reach_b"))
+    more = _followers(apart, members, sketches)
     return _verified(materialize(more.join(done, ["a", "b"], "left_anti")), sketches, texts, size)
 
 
+def _followers(apart: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of followers of two leaders that the leaders' distance and the dense sketches don't rule out.
+
+    The larger of two groups is streamed; the smaller groups' followers come to it in blocks of about `BLOCK`, so a group of
+    thousands beside hundreds of outsiders makes rows in proportion to the two numbers' sum, not their product.
+    """
+    sized = members.join(sketches.select("node", "sketch"), "node")
+    count = members.groupBy("leader").agg(F.count(F.lit(1)).alias("count"))
+    for side in ("a", "b"):
+        apart = apart.join(count.select(F.col("leader").alias(side), F.col("count").alias(f"count_{side}")), side)
+    larger = F.struct("count_a", "a") > F.struct(F.col("count_b").alias("count_a"), F.col("b").alias("a"))
+    ways = apart.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("leader"), "distance")
+    few = ways.join(sized, "leader").select("large", F.struct("node", "n", "spare", "component", "radius", "sketch", "distance").alias("x"))
+    blocks = few.groupBy("large").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    packs = few.join(blocks, "large").groupBy("large", F.pmod(F.xxhash64("x.node"), F.col("blocks")).alias("block")).agg(F.collect_list("x").alias("pack"))
+    rows = sized.withColumnRenamed("leader", "large").join(packs, "large").select("node", "n", "spare", "component", "radius", "sketch", "pack")
+    link = 1 - LEAST / 100 + 1e-9
+
+    def work(batches):
+        for batch in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for i in range(batch.num_rows):
+                y = {c: batch.column(c)[i].as_py() for c in ("node", "n", "spare", "component", "radius", "sketch")}
+                pack = batch.column("pack")[i].values.flatten()
+                node, n, spared, component, radius, sketch, distance = pack
+                n, spared, radius, distance = (x.to_numpy(zero_copy_only=False) for x in (n, spared, radius, distance))
+                can = (component.to_numpy() != y["component"]) & (spared + y["spare"] >= 0) & (distance - radius - y["radius"] <= link)
+                can &= (100 * np.minimum(n, y["n"]) >= LEAST * np.maximum(n, y["n"])) & (node.to_numpy() != y["node"])
+                for j in np.flatnonzero(can):
+                    if hamming(y["sketch"], sketch[j].as_py()) <= (int(n[j]) + y["n"]) * (100 - LEAST) // (100 + LEAST):
+                        other = node[j].as_py()
+                        out["a"].append(min(other, y["node"]))
+                        out["b"].append(max(other, y["node"]))
+            yield out
+
+    return per_batch(rows, work, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component = smallest node that it reaches) for the nodes of edges (a, b); alternating stars, all in Spark.
 
