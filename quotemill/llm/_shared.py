@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch: long texts stay small beside an executor's memory.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def session_of(df: DataFrame) -> SparkSession:

@@ -32,10 +32,10 @@ SHINGLE = 5
 LEAST = 75
 CELLS = 1 << 22
 _CHUNKS = 64
-#: Shingles that a task gathers before it sends them, and about as many come together in a group.
-SENT_KEYS = 2_000_000
+#: Shingles that a task gathers before it sends them; about as many come together in a group.
+SENT_KEYS = 1_000_000
 #: Followers of a smaller group that meet a larger group's followers at once.
-BLOCK = 64
+BLOCK = 16
 _SEVERAL = np.uint32(0xFFFFFFFF)
 
 
@@ -75,8 +75,8 @@ def differ_at_most(n: int, least: int = LEAST) -> int:
 
 
 def dense_sketch(found: np.ndarray) -> bytes:
-    """Parity sketch of about four bits a shingle; a shorter sketch is a longer one folded."""
-    log = min(17, max(6, len(found).bit_length() + 2))
+    """Parity sketch of about four bits a shingle, 2 KB at most; a shorter sketch is a longer one folded."""
+    log = min(14, max(6, len(found).bit_length() + 2))
     out = np.zeros(1 << log - 6, np.uint64)
     if len(found):
         piece, word = _fold(found, log - 6) if log > 6 else (np.zeros(1, np.int64), np.bitwise_xor.reduce(np.uint64(1) << (found & np.uint64(63)), keepdims=True))
@@ -103,7 +103,8 @@ def _common(texts: DataFrame, size: int) -> np.ndarray:
                 found = shingles(text, size)
                 keys += [piece_keys(found, s) for s in (scopes(len(found)) if len(found) else ())]
             if keys:
-                seen += np.bincount((np.concatenate(keys) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                cells, times = np.unique((np.concatenate(keys) & np.uint64(CELLS - 1)).astype(np.uint32), return_counts=True)
+                seen[cells] += times.astype(np.uint32)
         parts = seen.reshape(_CHUNKS, -1)
         some = [i for i in range(_CHUNKS) if parts[i].any()]
         yield {"chunk": some, "counts": [zlib.compress(parts[i].tobytes(), 1) for i in some]}
@@ -354,7 +355,7 @@ def _alive(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, own (shingles that no other row has), alive for every row: can it link at all? In a link at 0.75 at most a quarter of a set is missing from the
     other one, so a document with more shingles than that which no other row has is out.
 
-    Tasks send each shingle once for about two million of theirs: with its document's number, or as one that several of
+    Tasks send each shingle once for about a million of theirs: with its document's number, or as one that several of
     their documents have. A group for each part of the hash range then finds those sent once in all, and a group for each
     sending adds them up by document. The 32 bits that stand for a shingle within its part may make a few shingles look
     shared; that lets documents pass, never drops them.
