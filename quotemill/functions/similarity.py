@@ -45,8 +45,8 @@ def best_window(a: str, b: str) -> tuple[float, int, int]:
     best = (-1.0, 0, 0)
     for start in range(1 - m, n):
         lo, hi = max(0, start), min(n, start + m)
-        if b[hi - 1] not in masks or (lo and b[lo] not in masks and hi < n):
-            continue  # the best window ends on a shared character
+        if b[lo if hi - lo < m and lo else hi - 1] not in masks:
+            continue  # without that character a window is as good or better
         score = 200.0 * common_length(a, b[lo:hi], masks) / (m + hi - lo)
         if score > best[0]:
             best = (score, lo, hi)
