@@ -42,14 +42,19 @@ def best_window(a: str, b: str) -> tuple[float, int, int]:
     if (at := b.find(a)) >= 0:
         return 100.0, at, at + len(a)
     masks, m, n = _masks(a), len(a), len(b)
-    best = (-1.0, 0, 0)
-    for start in range(1 - m, n):
-        lo, hi = max(0, start), min(n, start + m)
-        if b[lo if hi - lo < m and lo else hi - 1] not in masks:
-            continue  # without that character a window is as good or better
-        score = 200.0 * common_length(a, b[lo:hi], masks) / (m + hi - lo)
-        if score > best[0]:
-            best = (score, lo, hi)
+    best, most, start = (-1.0, 0, 0), 0, 0
+    while start <= n - m:  # windows of a's length: a step changes the common length by one at most, so many can't be better
+        shared = common_length(a, b[start : start + m], masks)
+        if shared > most or best[0] < 0:
+            most, best = shared, (100.0 * shared / m, start, start + m)
+        start += most - shared + 1
+    for size in range(1, m):  # the ends of b
+        if 200.0 * size / (m + size) <= best[0]:
+            continue
+        for low, high in ((0, size), (n - size, n)):
+            score = 200.0 * common_length(a, b[low:high], masks) / (m + size)
+            if score > best[0]:
+                best = (score, low, high)
     return best if best[0] >= 0 else (0.0, 0, 0)
 
 

@@ -71,7 +71,7 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     rows = files.select(F.explode(F.split("value", r"(?m)^# ")).alias("s")).where(F.trim("s") != "")
     words = F.filter(F.transform(F.split(F.regexp_extract("s", r"(?mi)^keywords:(.*)$", 1), ","), lambda w: F.lower(F.trim(w))), lambda w: w != "")
     body = F.regexp_replace(F.regexp_replace("s", r"(?mi)^keywords:.*$", ""), r"^[^\n]*\n?", "")
-    return rows.select(F.trim(F.regexp_extract("s", r"^([^\n]*)", 1)).alias("title"), words.alias("keywords"), F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "").alias("paragraphs"))
+    return rows.select(F.trim(F.regexp_extract("s", r"^([^\n]*)", 1)).alias("title"), words.alias("keywords"), F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "").alias("paragraphs"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
