@@ -321,7 +321,8 @@ def _followers(apart: DataFrame, members: DataFrame, sketches: DataFrame) -> Dat
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component = smallest node that it reaches) for the nodes of edges (a, b); alternating stars, all in Spark.
+    """(node, component = smallest node that it reaches) for the nodes of edges (a, b) but the smallest of each component, which
+    have no row of their own; alternating stars, all in Spark.
 
     Each round halves the depth of what is left at least; every round's edges are written to the shared folder.
     """
