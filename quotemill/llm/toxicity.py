@@ -19,12 +19,12 @@ from ._shared import bucket_of, columns, materialize, per_batch, tune
 
 SAMPLE = 20_000
 #: Most entries of the lexicon, least texts that hold one, and how many times likelier it must be in a toxic text.
-ENTRIES, LEAST_TEXTS, LEAST_RATIO = 20_000, 4, 6.0
+ENTRIES, LEAST_TEXTS, LEAST_RATIO = 20_000, 4, 20.0
 BEGINNINGS = (4, 5)
 
 # fixed values: words of the closed classes, in English, German, French, Spanish
 TARGETS = frozenset("you your yours he she him her they them their these those people du dich dir ihr euch sie er ihm ihn tu toi te vous il elle ils elles eux usted ustedes él ella ellos ellas".split())
-THREATS = frozenset("kill hurt destroy beat shoot stab burn hang die töten schlagen vernichten verletzen tuer frapper détruire blesser matar golpear destruir herir".split())
+THREATS = frozenset("kill hurt destroy beat shoot stab burn hang töten schlagen vernichten verletzen tuer frapper détruire blesser matar golpear destruir herir".split())
 NEGATIONS = frozenset("not no never nobody isn't aren't don't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún".split())
 REPORTS = frozenset("said says say wrote called calls quoted reported claims sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split())
 
@@ -125,7 +125,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     at = {name: i + 1 for i, name in enumerate(MARKS)}
     w[1:] = np.maximum(w[1:], 0)
     w[at["aimed"]] = max(w[at["aimed"]], w[at["plain"]])
-    w[at["threat"]] = max(w[at["threat"]], w[at["plain"]] * 0.5)
     for name in ("negated", "reported"):
         w[at[name]] = min(w[at[name]], w[at["plain"]])
     return w
