@@ -13,7 +13,7 @@ from .ngram_bloom_lm import score_held_out
 from .packing import pack
 from .pii import find_pii
 from .quotation_links import ORACLE_SQL as QUOTATION_SQL
-from .quotation_links import link_quotations
+from .quotation_links import link_quotations, reply_ordered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(_table(spark, sf_dir, "conversations"))
 
 
+def op1_reply_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_ordered(link_quotations(_table(spark, sf_dir, "conversations")))
+
+
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_held_out(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 

@@ -3,8 +3,10 @@
 A line that begins with `>` marks is quoted, as deep as it has marks. Quoted and own lines are normalised (lower case, white
 space collapsed) and hashed; a quoted line goes back to the latest earlier message of its conversation that holds it as a line
 of its own. The message replies to the latest one that its shallowest linked lines go back to, else to the message before it.
-A message that doesn't reply to the one before begins a branch; (branch, turn) orders a conversation so that every message
-comes after the one it replies to and branches stay together. Quoted lines and the "... wrote:" line above them are left out.
+In link_quotations (and its SQL) a message that doesn't reply to the one before begins a branch, so (branch, turn) is the order
+of turns. reply_ordered() follows reply_to: the first reply to a message continues its branch, any other begins one, and (branch,
+turn) orders a conversation so that every message comes after the one it replies to and interleaved threads stay together.
+Quoted lines and the "... wrote:" line above them are left out.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import columns
+from ._shared import columns, materialize
 
 #: Turns that one window sees; carried over from block to block, so that a hot conversation is no single task's.
 BLOCK = 1024
@@ -92,6 +94,39 @@ def conversations(linked: DataFrame) -> DataFrame:
     return linked.where("branch is not null").groupBy("conv_id", "branch", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(message)).alias("messages"))
 
 
+def reply_ordered(linked: DataFrame) -> DataFrame:
+    """conv_id, position, branch, turn, role, reply_to, text of every row of link_quotations(): conversations in reply order.
+
+    branch is the turn that begins it; position counts from 0 in the order of (branch, turn) within a conversation; rows that
+    share (conv_id, turn) follow each other. Rows that can't be placed have neither. An empty table gives an empty one.
+    """
+    rows = materialize(linked.withColumnRenamed("branch", "run"))  # a run's messages reply to the one right before
+    turns = rows.where("run is not null").select("conv_id", "turn", "reply_to", "run").distinct()
+    first = turns.where("reply_to is not null").groupBy("conv_id", "reply_to").agg(F.min("turn").alias("turn"))
+    heads = turns.where("turn = run").select("conv_id", F.col("turn").alias("head"))
+    # a head that is the first reply to a message goes on with that message's run
+    onward = first.join(turns.where("turn = run").select("conv_id", "turn"), ["conv_id", "turn"]).select("conv_id", F.col("turn").alias("head"), F.col("reply_to").alias("turn"))
+    onward = onward.join(turns.select("conv_id", "turn", "run"), ["conv_id", "turn"]).select("conv_id", "head", F.col("run").alias("to"))
+    heads = materialize(heads.join(onward, ["conv_id", "head"], "left").select("conv_id", "head", F.coalesce("to", "head").alias("to")))
+    while True:  # doubling: as many rounds as the longest chain of runs has bits
+        target = heads.select("conv_id", F.col("head").alias("to"), F.col("to").alias("far"))
+        further = materialize(heads.join(target, ["conv_id", "to"]).select("conv_id", "head", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
+        heads = further.drop("moved")
+        if further.where("moved").isEmpty():
+            break
+    out = rows.join(heads.select("conv_id", F.col("head").alias("run"), F.col("to").alias("branch")), ["conv_id", "run"], "left")
+    out = out.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    keys = ["conv_id", "branch", "block"]
+    counts = out.where("branch is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("branch", "block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "role", "text"))
+    placed = out.where("branch is not null").withColumn("inside", inside).join(counts, keys).withColumn("position", F.col("start") + F.col("inside") - 1)
+    rest = out.where("branch is null").withColumn("position", F.lit(None).cast("long"))
+    return placed.select(*_ORDERED).unionByName(rest.select(*_ORDERED))
+
+
+_ORDERED = ["conv_id", "position", "branch", "turn", "role", "reply_to", "text"]
 _BODY = r"trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)+)', '')), '[ \t\r\x0b\x0c]+', ' ', 'g'), ' ')"
 ORACLE_SQL = rf"""
 WITH m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),

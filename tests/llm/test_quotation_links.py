@@ -82,3 +82,51 @@ def test_conversations(spark):
     found = {(r.conv_id, r.branch): [m.turn for m in r.messages] for r in ql.conversations(ql.link_quotations(df)).collect()}
     assert found[1, 0] == [0, 1, 2] and found[1, 3] == [3, 4]
     assert ql.link_quotations(df.limit(0)).count() == 0
+
+
+def walked(rows):
+    """conv_id -> turns in reply order with their branches, by walking up the parents."""
+    parents = {(c, t): r for c, t, _, _, _, _, r, _, _ in brute(rows) if c is not None and t is not None}
+    firsts = {}
+    for c, t in sorted(parents):
+        firsts.setdefault((c, parents[c, t]), t)
+
+    def branch(c, t):
+        p = parents[c, t]
+        return t if p is None or firsts[c, p] != t else branch(c, p)
+
+    return {(c, t): (branch(c, t), p) for (c, t), p in parents.items()}
+
+
+THREADS = [(1, 0, "user", "alpha"), (1, 1, "assistant", "beta"), (1, 2, "user", "> alpha\ngamma"), (1, 3, "assistant", "> beta\ndelta"), (1, 4, "user", "> gamma\nx"), (1, 5, "user", "> delta\ny")]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+@pytest.mark.parametrize("rows", [THREADS, TALK, made()], ids=["threads", "talk", "made"])
+def test_reply_order_walks_parents(spark, monkeypatch, rows, block):
+    monkeypatch.setattr(ql, "BLOCK", block)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = ql.reply_ordered(ql.link_quotations(df)).collect()
+    assert len(got) == len(rows)
+    want = walked(rows)
+    for r in got:
+        assert (r.branch, r.reply_to) == want.get((r.conv_id, r.turn), (None, None))
+    for conv in {c for c, *_ in rows if c is not None}:
+        placed = sorted((r.position, r.branch, r.turn) for r in got if r.conv_id == conv and r.turn is not None)
+        assert [p for p, _, _ in placed] == list(range(len(placed)))
+        assert [(b, t) for _, b, t in placed] == sorted((b, t) for _, b, t in placed)
+        seen = set()
+        for _, _, t in placed:
+            assert want[conv, t][1] is None or want[conv, t][1] in seen
+            seen.add(t)
+    if rows is THREADS:
+        assert [t for _, t in sorted((r.position, r.turn) for r in got)] == [0, 1, 3, 5, 2, 4]
+
+
+def test_reply_order_is_a_query(spark, tmp_path):
+    from quotemill.llm import queries
+
+    spark.createDataFrame(THREADS, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.queries()["op1_reply_ordered"](spark, str(tmp_path)).collect()
+    assert [r.branch for r in sorted(found, key=lambda r: r.turn)] == [0, 0, 2, 0, 2, 0]
+    assert ql.reply_ordered(ql.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
