@@ -30,7 +30,6 @@ REPORTS = frozenset("said says say wrote called calls quoted reported claims sag
 
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_EDGE = ".,!?;:|\"'()[]{}«»“”"
 _REACH = {"negated": 3, "aimed": 6}
 MARKS = ("plain", "aimed", "negated", "reported", "threat", "clauses")
 
@@ -95,7 +94,7 @@ def marks(text: str | None, lexicon: Lexicon) -> list[float]:
     """Of a whole text: log(1 + weight) for each mark."""
     low = (text or "").lower()
     total = np.zeros(len(MARKS))
-    if lexicon.any_in({w.strip(_EDGE) for w in low.split()}):
+    if lexicon.any_in(set(_WORD.findall(low))):  # cut as the clauses' words are
         for clause in _CLAUSE.split(low):
             if found := clause_marks(_WORD.findall(clause), lexicon):
                 total += list(found.values())

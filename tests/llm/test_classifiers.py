@@ -64,6 +64,14 @@ def test_toxicity_grammar():
     assert not any(mark("a fine day, you see").values()) and not any(mark("").values())
 
 
+def test_toxicity_words_at_other_signs():
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "moron": 2.0}, {"scum": 2.0})
+    whole = lambda text: np.log1p(sum(np.array(list(m.values())) for c in toxicity._CLAUSE.split(text) if (m := toxicity.clause_marks(toxicity._WORD.findall(c), lexicon))))
+    for text in ("you-idiot", "you *idiot*", "well,moron", "<b>idiot</b>", "#idiot", "you/moron", "—idiot", "¡idiot!", "scummy***", "i will kill*** you"):
+        assert any(toxicity.marks(text, lexicon)), text
+        assert np.allclose(toxicity.marks(text, lexicon), whole(text)), text
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (1, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
