@@ -108,9 +108,9 @@ _TOKEN = re.compile(r"[^\W_]+")
 _POINT = r"(?:dot|punkt|punto|point)"
 _AT_IN = re.compile(r"\s*[\[({<]\s*(?:at|@|ät|arroba)\s*[\])}>]\s*", re.I)
 _DOT_IN = re.compile(rf"\s*[\[({{<]\s*(?:{_POINT}|\.)\s*[\])}}>]\s*", re.I)
-_WORDS = re.compile(rf"[a-z0-9._%+-]{{2,64}}(\s+(?:at|arroba)\s+)[a-z0-9-]{{2,63}}(?:\s+{_POINT}\s+[a-z0-9-]{{2,63}}){{1,3}}(?![\w])", re.I)
+_WORDS = re.compile(rf"[a-z0-9._%+-]{{1,64}}(\s+(?:at|arroba)\s+)[a-z0-9-]{{2,63}}(?:\s+{_POINT}\s+[a-z0-9-]{{2,63}}){{1,3}}(?![\w])", re.I)
 _POINT_WORD = re.compile(rf"\s+{_POINT}\s+", re.I)
-_TRIGGERS = (" dot ", " punkt ", " punto ", " point ")
+_TRIGGER = re.compile(rf"\s{_POINT}\s", re.I)
 
 Edit = tuple[int, int, str]
 
@@ -158,10 +158,8 @@ def _at_and_dot(text: str) -> list[Edit]:
     edits = []
     if any(c in text for c in "[({<"):
         edits += [(*m.span(), "@") for m in _AT_IN.finditer(text)]
-        if edits or "." in text or "dot" in text.lower():
-            edits += [(*m.span(), ".") for m in _DOT_IN.finditer(text)]
-    low = text.lower()
-    if any(t in low for t in _TRIGGERS):
+        edits += [(*m.span(), ".") for m in _DOT_IN.finditer(text)]
+    if _TRIGGER.search(text):
         for m in _WORDS.finditer(text):
             edits.append((*m.span(1), "@"))
             edits += [(*p.span(), ".") for p in _POINT_WORD.finditer(text, m.end(1), m.end())]
@@ -171,9 +169,7 @@ def _at_and_dot(text: str) -> list[Edit]:
 
 
 def _spelled(text: str) -> list[Edit]:
-    edits, low = [], text.lower()
-    if len(low) != len(text):
-        return edits
+    edits, low = [], text.replace("İ", "ı").lower()  # the one letter that grows; places stay
     for run in _RUN.finditer(low):
         words = list(_TOKEN.finditer(low, run.start(), run.end()))
         if sum(w[0] in _DIGIT for w in words) < 4:

@@ -50,6 +50,19 @@ def test_disguises_map_back():
         assert set(plain) <= set(every)
 
 
+def test_disguises_that_shortcuts_left_out():
+    cases = {
+        "İ call plus one four five six five five five two one eight six ok": [("phone", "plus one four five six five five five two one eight six")],
+        "host 10[punkt]0[point]0[punto]1 up": [("ip", "10[punkt]0[point]0[punto]1")],
+        "mail ann at host\tdot\tcom today": [("email", "ann at host\tdot\tcom")],
+        "mail ann at host punkt\ncom today": [("email", "ann at host punkt\ncom")],
+        "mail x at example dot org today": [("email", "x at example dot org")],
+    }
+    for text, want in cases.items():
+        assert [(k, text[a:b]) for k, a, b in pii.spans(text)[1]] == want, text
+    assert [chr(i) for i in range(0x110000) if len(chr(i).lower()) != 1] == ["İ"]
+
+
 def test_rows(spark):
     rows = [(1, "a@b.cc and a@b.cc"), (2, None), (3, ""), (None, "1.2.3.4"), (1, "a@b.cc and a@b.cc")]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, spans string")
