@@ -44,7 +44,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for word in text.split():
         shape = seen.get(word)
         if shape is None:
-            shape = _RUNS.sub(r"\1", word[:40].translate(_SHAPE))
+            shape = _RUNS.sub(r"\1", word.translate(_SHAPE))
             if len(seen) < _SHAPES_KEPT:
                 seen[word] = shape
         shapes[shape] = shapes.get(shape, 0) + 1

@@ -80,6 +80,11 @@ def test_toxicity_edges(spark):
     assert toxicity.score_held_out(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_shapes_see_whole_words():
+    places = lambda word: set(quality.features(word)[0][1:].tolist())  # noqa: E731  (all but the hashed word)
+    assert places("a" * 40 + "1B-") != places("a" * 43)
+
+
 def test_quality_held_out(spark, tables):
     docs, labels = tables
     got = quality.grade_held_out(docs, labels).join(labels, "doc_id").where("held_out").collect()
