@@ -35,8 +35,11 @@ def _own_dir() -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of this process where none is named (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The shared folder that the cluster names; a folder of this process where none is named and all runs on this machine (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or _own_dir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -47,13 +50,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Up to so many ids (8 bytes each) are broadcast; beyond that they are joined by a shuffle.
-SMALL_IDS = 1_000_000
+#: Up to so many bytes of fixed-width rows are broadcast; beyond that they are joined by a shuffle.
+SMALL_BYTES = 8_000_000
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """ids (one column, different ones) with a broadcast hint if there are few enough."""
-    return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+def small(rows: DataFrame, width: int = 8) -> DataFrame:
+    """rows (of `width` bytes each, numbers only) with a broadcast hint if there are few enough."""
+    return F.broadcast(rows) if rows.count() * width <= SMALL_BYTES else rows
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -34,9 +34,11 @@ CELLS = 1 << 22
 _CHUNKS = 64
 #: Shingles that a task gathers before it sends them; about as many come together in a group.
 SENT_KEYS = 1_000_000
-#: Followers of a smaller group that meet a larger group's followers at once.
-BLOCK = 16
+#: Documents whose dense sketches meet another block's at once.
+BLOCK = 32
 _SEVERAL = np.uint32(0xFFFFFFFF)
+#: Bits that stand for a shingle within its part of the hash range (a part has about SENT_KEYS shingles).
+_LOW_BITS = 27
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -92,6 +94,31 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(len(y), -1), axis=1) ^ y).sum())
 
 
+def hammings(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """hamming() of every sketch of one block with every one of another."""
+
+    def by_length(block):
+        lengths = np.array([len(x) for x in block])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            yield at, np.frombuffer(b"".join(block[i] for i in at), np.uint64).reshape(len(at), -1)
+
+    out = np.empty((len(a), len(b)), np.int64)
+    for i, x in by_length(a):
+        for j, y in by_length(b):
+            n = min(x.shape[1], y.shape[1])
+            x_n, y_n = (np.bitwise_xor.reduce(z.reshape(len(z), n, -1), axis=2) for z in (x, y))
+            out[np.ix_(i, j)] = np.bitwise_count(x_n[:, None] ^ y_n[None]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def least_distances(n_a: np.ndarray, a: list[bytes], n_b: np.ndarray, b: list[bytes]) -> np.ndarray:
+    """1 - Jaccard of every pair of two blocks is this much at least, by the sizes and dense sketches of the sets."""
+    both = n_a[:, None] + n_b[None]
+    differ = np.maximum(hammings(a, b), np.abs(n_a[:, None] - n_b[None]))
+    return 2 * differ / np.maximum(both + differ, 1)
+
+
 def _common(texts: DataFrame, size: int) -> np.ndarray:
     """For each counter, how often its pieces occur over all documents, against the mean: 0, or the logarithm from 2 on."""
 
@@ -251,41 +278,114 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
 def _across(met: DataFrame, links: DataFrame, done: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Links between the components that show one piece, without comparing all their documents.
 
-    1 - Jaccard is a metric. Each document stands near one that it links to, its leader, or is its own; a leader's radius is
-    the largest distance to its followers. Where two leaders are further apart than 0.25 and both followers' distances to them,
-    the followers don't link; only the rest is compared document by document. Two documents whose own shingles rule
-    a link out (`spare`) never meet here.
+    1 - Jaccard is a metric. Each document stands near one that it links to, its leader, or is its own; a leader's reach is
+    the largest distance to its followers. Where two leaders are further apart than 0.25 and both reaches, by their dense
+    sketches, their followers don't link; only the rest is compared document by document. Two documents whose own shingles
+    rule a link out (`spare`) never meet here. Leaders meet in blocks of sketches, so that a piece makes rows in proportion
+    to its blocks and only pairs that the sketches leave become rows.
     """
-    label = components(links)
     led = links.groupBy("b").agg(F.min(F.struct("a", "distance")).alias("to")).select(F.col("b").alias("node"), F.col("to.a").alias("leader"), F.col("to.distance").alias("radius"))
+    linked = materialize(components(links).join(led, "node", "left"))
     spared = F.lit(100 - LEAST) * F.col("n") - F.lit(100 + LEAST) * F.col("own")
-    of = met.where("many").select("piece", "node", "n", "own").distinct().join(label, "node", "left").join(led, "node", "left")
+    of = met.where("many").select("piece", "node", "n", "own").join(small(linked, 32), "node", "left")
     of = of.select("piece", "node", "n", spared.alias("spare"), F.coalesce("component", "node").alias("component"), F.coalesce("leader", "node").alias("leader"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
     open_ = of.groupBy("piece").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("piece")
     left = materialize(of.join(open_, "piece"))
     members = left.select("leader", "node", "n", "spare", "component", "radius").distinct()
-    leads = members.groupBy("leader").agg(F.max("spare").alias("spare"), F.max("radius").alias("reach"))
+    leads = members.groupBy("leader").agg(F.max("spare").alias("spare"), F.max("radius").alias("reach")).join(sketches.select(F.col("node").alias("leader"), "n"), "leader")
     # of pieces that the same leaders show, one is enough
     shown = left.select("piece", "leader", "component").distinct()
     same = shown.groupBy("piece").agg(F.bit_xor(F.xxhash64("leader")).alias("one"), F.bit_xor(F.xxhash64("leader", F.lit(1))).alias("two"), F.count(F.lit(1)).alias("n"))
-    groups = materialize(shown.join(same.groupBy("one", "two", "n").agg(F.min("piece").alias("piece")).select("piece"), "piece").join(leads.select("leader", "spare"), "leader"))
-    other = groups.select("piece", *(F.col(c).alias(f"{c}2") for c in ("leader", "spare", "component")))
-    # own shingles leave room only if one of the two has spare 0 or more
-    meet = groups.where("spare >= 0").join(other, "piece").where("component <> component2 and spare + spare2 >= 0 and (spare2 < 0 or component < component2)")
-    leaders = meet.select(F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b")).distinct()
-    apart = _verified(materialize(leaders), sketches, texts, size, max(1, LEAST - 2 * (100 - LEAST)))
-    for side in ("a", "b"):
-        apart = apart.join(leads.select(F.col("leader").alias(side), F.col("reach").alias(f"reach_{side}")), side)
-    link = 1 - LEAST / 100 + 1e-9
-    apart = materialize(apart.where(f"distance <= {link} + reach_a + reach_b"))
+    groups = materialize(shown.join(same.groupBy("one", "two", "n").agg(F.min("piece").alias("piece")).select("piece"), "piece").join(small(leads, 32), "leader"))
+    # own shingles leave room only beside one of the piece whose spare makes up for it
+    top = groups.groupBy("piece").agg(F.max("spare").alias("top"), F.count(F.lit(1)).alias("shown"))
+    groups = materialize(groups.join(top, "piece").where("spare + top >= 0"))
+    apart = _in_blocks(groups.where(f"shown > {BLOCK}"), sketches).unionByName(_one_by_one(groups.where(f"shown <= {BLOCK}"), sketches))
+    apart = materialize(apart.groupBy("a", "b").agg(F.min("distance").alias("distance")))
     more = _followers(apart, members, sketches)
     return _verified(materialize(more.join(done, ["a", "b"], "left_anti")), sketches, texts, size)
 
 
+def _in_blocks(groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, distance) of leaders that meet at a piece that many show."""
+    groups = groups.join(sketches.select(F.col("node").alias("leader"), "sketch"), "leader")
+    return _near(groups, groups.where("spare >= 0"), "piece", ("leader", "component", "spare", "reach", "n", "sketch"), within=True)
+
+
+def _one_by_one(groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The same of leaders at pieces that few show: `BLOCK` partners of each at most. Sizes are looked at before sketches."""
+    least = LEAST / 100 - 1e-9
+    one, two = (groups.select("piece", *(F.col(c).alias(f"{c}{i}") for c in ("leader", "component", "spare", "reach", "n"))) for i in ("", "2"))
+    can = "spare >= 0 and component <> component2 and spare + spare2 >= 0 and (spare2 < 0 or leader < leader2)"
+    alike = F.least("n", "n2") >= F.greatest("n", "n2") * (F.lit(least) - F.col("reach") - F.col("reach2"))
+    pairs = one.join(two, "piece").where(can).where(alike).select(F.least("leader", "leader2").alias("a"), F.greatest("leader", "leader2").alias("b"), (F.col("reach") + F.col("reach2")).alias("reach"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("reach").alias("reach"))
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    link = 1 - LEAST / 100 + 1e-9
+
+    def work(batches):
+        for batch in batches:
+            x = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            differ = np.array([max(hamming(p, q), abs(m - n)) for p, q, m, n in zip(x["sketch_a"], x["sketch_b"], x["n_a"], x["n_b"])], np.float64)
+            both = np.array(x["n_a"], np.float64) + np.array(x["n_b"], np.float64)
+            distance = 2 * differ / np.maximum(both + differ, 1)
+            keep = np.flatnonzero(distance <= link + np.array(x["reach"], np.float64))
+            yield {"a": np.array(x["a"], np.int64)[keep], "b": np.array(x["b"], np.int64)[keep], "distance": distance[keep]}
+
+    return per_batch(pairs, work, "a long, b long, distance double")
+
+
+def _near(many: DataFrame, few: DataFrame, key: str, fields: tuple[str, ...], within: bool = False) -> DataFrame:
+    """(a, b, distance) of rows of `many` and `few` that meet at a key and that may have a link between what they lead.
+
+    `fields` are, in this order: id, component, spare, reach (how far what it leads is from it), size, dense sketch. Both sides
+    come in blocks of about `BLOCK` rows. A key with many blocks is dealt out over several tasks; the few side's blocks go to
+    each of them. distance is a lower bound. `within`: `few` are the rows of `many` with a spare of 0 or more, so that a pair
+    of two such rows comes twice and is taken once.
+    """
+
+    def packs(rows):
+        blocks = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        dealt = rows.join(blocks, key).groupBy(key, "blocks", F.pmod(F.xxhash64(fields[0]), F.col("blocks")).alias("block"))
+        return dealt.agg(F.collect_list(F.struct(*fields)).alias("pack"))
+
+    salts = F.ceil(F.col("blocks") / BLOCK)
+    one = packs(many).select(key, F.pmod("block", salts).alias("salt"), F.col("pack").alias("one"))
+    wide = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).select(key, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    two = packs(few).select(key, F.col("pack").alias("two")).join(wide, key)
+    met = one.join(two, [key, "salt"]).select("one", "two")
+    link = 1 - LEAST / 100 + 1e-9
+
+    def read(pack):
+        node, component, spared, reach, n, sketch = pack.values.flatten()
+        return (*(x.to_numpy(zero_copy_only=False) for x in (node, component, spared, reach, n)), sketch.to_pylist())
+
+    def work(batches):
+        for batch in batches:
+            out: dict[str, list] = {"a": [], "b": [], "distance": []}
+            for x, y in zip(batch.column("one"), batch.column("two")):
+                (node, component, spared, reach, n, sketch), (node2, component2, spared2, reach2, n2, sketch2) = read(x), read(y)
+                can = (component[:, None] != component2) & (spared[:, None] + spared2 >= 0) & (node[:, None] != node2)
+                if within:
+                    can &= (spared[:, None] < 0) | (node[:, None] < node2)
+                rows, cols = np.flatnonzero(can.any(axis=1)), np.flatnonzero(can.any(axis=0))
+                if not len(rows):
+                    continue
+                far = least_distances(n[rows], [sketch[i] for i in rows], n2[cols], [sketch2[j] for j in cols])
+                some = np.nonzero(can[np.ix_(rows, cols)] & (far <= link + reach[rows][:, None] + reach2[cols]))
+                p, q = node[rows[some[0]]], node2[cols[some[1]]]
+                for name, z in zip(out, (np.minimum(p, q), np.maximum(p, q), far[some])):
+                    out[name].append(z)
+            yield {name: np.concatenate(z) if z else [] for name, z in out.items()}
+
+    return per_batch(met, work, "a long, b long, distance double")
+
+
 def _followers(apart: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of followers of two leaders that the leaders' distance and the dense sketches don't rule out.
 
-    The larger of two groups is streamed; the smaller groups' followers come to it in blocks of about `BLOCK`, so a group of
+    The followers of all leaders that stand near one with more followers meet that one's in blocks (`_near`), so a group of
     thousands beside hundreds of outsiders makes rows in proportion to the two numbers' sum, not their product.
     """
     sized = members.join(sketches.select("node", "sketch"), "node")
@@ -294,33 +394,17 @@ def _followers(apart: DataFrame, members: DataFrame, sketches: DataFrame) -> Dat
         apart = apart.join(count.select(F.col("leader").alias(side), F.col("count").alias(f"count_{side}")), side)
     larger = F.struct("count_a", "a") > F.struct(F.col("count_b").alias("count_a"), F.col("b").alias("a"))
     ways = apart.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("leader"), "distance")
-    few = ways.join(sized, "leader").select("large", F.struct("node", "n", "spare", "component", "radius", "sketch", "distance").alias("x"))
-    blocks = few.groupBy("large").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    packs = few.join(blocks, "large").groupBy("large", F.pmod(F.xxhash64("x.node"), F.col("blocks")).alias("block")).agg(F.collect_list("x").alias("pack"))
-    rows = sized.withColumnRenamed("leader", "large").join(packs, "large").select("node", "n", "spare", "component", "radius", "sketch", "pack")
-    link = 1 - LEAST / 100 + 1e-9
-
-    def work(batches):
-        for batch in batches:
-            out: dict[str, list] = {"a": [], "b": []}
-            for i in range(batch.num_rows):
-                y = {c: batch.column(c)[i].as_py() for c in ("node", "n", "spare", "component", "radius", "sketch")}
-                pack = batch.column("pack")[i].values.flatten()
-                node, n, spared, component, radius, sketch, distance = pack
-                n, spared, radius, distance = (x.to_numpy(zero_copy_only=False) for x in (n, spared, radius, distance))
-                can = (component.to_numpy() != y["component"]) & (spared + y["spare"] >= 0) & (distance - radius - y["radius"] <= link)
-                can &= (100 * np.minimum(n, y["n"]) >= LEAST * np.maximum(n, y["n"])) & (node.to_numpy() != y["node"])
-                for j in np.flatnonzero(can):
-                    if hamming(y["sketch"], sketch[j].as_py()) <= (int(n[j]) + y["n"]) * (100 - LEAST) // (100 + LEAST):
-                        other = node[j].as_py()
-                        out["a"].append(min(other, y["node"]))
-                        out["b"].append(max(other, y["node"]))
-            yield out
-
-    return per_batch(rows, work, "a long, b long").distinct()
+    # two followers link only where the leaders' distance is at most 0.25 and both radii
+    reach = members.groupBy("leader").agg(F.max("radius").alias("most"))
+    few = ways.join(sized, "leader").join(reach.select(F.col("leader").alias("large"), "most"), "large").where(f"distance - radius - most <= {1 - LEAST / 100 + 1e-9}")
+    few = few.groupBy("large", "node").agg(*(F.first(c).alias(c) for c in ("component", "spare", "n", "sketch")))
+    fields = ("node", "component", "spare", "reach", "n", "sketch")
+    many = sized.withColumnRenamed("leader", "large").join(few.select("large").distinct(), "large")
+    either = lambda rows: rows.withColumn("reach", F.lit(0.0))
+    return _near(either(many), either(few), "large", fields).select("a", "b").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component = smallest node that it reaches) for the nodes of edges (a, b) but the smallest of each component, which
     have no row of their own; alternating stars, all in Spark.
 
@@ -328,7 +412,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -344,12 +428,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as differences, byte by byte, so that the high bytes shrink to nothing."""
-    return zlib.compress(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """32-bit numbers byte by byte, all lowest bytes first, so that the high ones shrink to nothing."""
+    return zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+    return np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
 
 
 def _alive(docs: DataFrame, size: int) -> DataFrame:
@@ -358,7 +442,7 @@ def _alive(docs: DataFrame, size: int) -> DataFrame:
 
     Tasks send each shingle once for about a million of theirs: with its document's number, or as one that several of
     their documents have. A group for each part of the hash range then finds those sent once in all, and a group for each
-    sending adds them up by document. The 32 bits that stand for a shingle within its part may make a few shingles look
+    sending adds them up by document. The 27 bits that stand for a shingle within its part make about one in a hundred look
     shared; that lets documents pass, never drops them.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -386,12 +470,12 @@ def _alive(docs: DataFrame, size: int) -> DataFrame:
                 keys, doc = keys[first], np.where(alone, doc[first], _SEVERAL)
                 part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
                 edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                low = (mix(keys) >> np.uint64(32)).astype(np.uint32)
+                low = (mix(keys) >> np.uint64(64 - _LOW_BITS)).astype(np.uint32)
                 for i in range(parts):
                     if edge[i] < edge[i + 1]:
-                        x, d = low[edge[i] : edge[i + 1]], doc[edge[i] : edge[i + 1]].astype(np.uint16 if len(ids) < 0xFFFF else np.uint32)
+                        x, d = low[edge[i] : edge[i + 1]], doc[edge[i] : edge[i + 1]]
                         order = np.argsort(x, kind="stable")
-                        rows.append((i, sending, _packed(x[order]), d[order].tobytes()))
+                        rows.append((i, sending, _packed(np.diff(x[order], prepend=np.uint32(0))), _packed(d[order] + np.uint32(1))))  # several: 0
             ids.clear()
             sets.clear()
             return dict(zip(("part", "sending", "first", "second"), map(list, zip(*rows))))
@@ -410,18 +494,16 @@ def _alive(docs: DataFrame, size: int) -> DataFrame:
         if part < 0:
             return table.select(["sending", "first", "second"])
         sendings = table.column("sending").to_pylist()
-        keys = [_unpacked(x) for x in table.column("first").to_pylist()]
-        docs = [np.frombuffer(x, np.uint16 if len(x) == 2 * len(k) else np.uint32) for x, k in zip(table.column("second").to_pylist(), keys)]
-        several = np.concatenate([d == np.iinfo(d.dtype).max for d in docs])
+        keys = [np.cumsum(_unpacked(x), dtype=np.uint32) for x in table.column("first").to_pylist()]
+        docs = np.concatenate([_unpacked(x) for x in table.column("second").to_pylist()])
         of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
         same = every[order][1:] == every[order][:-1]
         alone = np.ones(len(every), bool)
         alone[order[1:][same]] = alone[order[:-1][same]] = False
-        alone &= ~several
-        doc = np.concatenate([d.astype(np.int64) for d in docs])
-        out = _by_sending(doc[alone], of[alone], len(keys))
+        alone &= docs > 0
+        out = _by_sending(docs[alone].astype(np.int64) - 1, of[alone], len(keys))
         return pa.table({"sending": pa.array(sendings, pa.int64()), "first": pa.array([None] * len(keys), pa.binary()), "second": pa.array(out, pa.binary())})
 
     def add(table):
