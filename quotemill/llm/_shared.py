@@ -37,16 +37,16 @@ def _own_dir() -> str:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of this process where none is named and all runs on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or _own_dir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, lost executors re-read."""
     spark = session_of(df)
     path = f"{work_dir(spark)}/quotemill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
