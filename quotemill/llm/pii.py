@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -83,9 +84,10 @@ def plain_spans(text: str) -> list[Span]:
 
 # fixed values: letters and signs of other scripts that look like these
 _LOOKS = {
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "еε", "g": "ɡ", "h": "һ", "i": "іι", "j": "ј", "k": "κ", "l": "ӏ", "m": "м", "n": "п", "o": "оοօ", "p": "рρ", "s": "ѕ", "t": "т",
-    "u": "υ", "v": "ν", "w": "ԝ", "x": "хχ", "y": "уγ", "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ",
-    "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", ".": "․。｡", "-": "‐‑‒–−", "@": "﹫", "+": "﹢",
+    "a": "аα", "b": "ƅ", "c": "сϲ", "d": "ԁ", "e": "еε", "f": "ք", "g": "ɡց", "h": "һհ", "i": "іιı", "j": "ј", "k": "κк", "l": "ӏ", "m": "м", "n": "пո", "o": "оοօᴏ", "p": "рρ",
+    "q": "ԛզ", "r": "г", "s": "ѕꜱ", "t": "т", "u": "υս", "v": "νѵ", "w": "ԝѡ", "x": "хχ", "y": "уγү", "z": "ᴢ",
+    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ",
+    "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ", ".": "․。｡", "-": "‐‑‒–−", "@": "﹫", "+": "﹢",
 }
 # fixed values: characters without width
 _INVISIBLE = "​‌‍⁠﻿­"
@@ -96,6 +98,9 @@ _DIGITS = {
 }
 _LETTER = {ord(c): plain for plain, many in _LOOKS.items() for c in many}
 _LETTER |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width signs
+# letters and digits in other dress (bold, script, circled, raised, Roman): those whose compatibility form is one plain character
+_DRESSED = [*range(0x2070, 0x208A), *range(0x2100, 0x2180), *range(0x2460, 0x24EA), *range(0x1D400, 0x1D800)]
+_LETTER |= {c: plain for c in _DRESSED if (plain := unicodedata.normalize("NFKC", chr(c))).isascii() and plain.isalnum() and len(plain) == 1}
 _LETTER |= {first + d: str(d) for first in (0x660, 0x6F0, 0x966) for d in range(10)}  # Arabic-Indic, Persian, Devanagari digits
 _LETTER |= {ord(c): "" for c in _INVISIBLE}
 _DIGIT = {word: d for d, words in _DIGITS.items() for word in words.split()}
@@ -108,7 +113,7 @@ _TOKEN = re.compile(r"[^\W_]+")
 _POINT = r"(?:dot|punkt|punto|point)"
 _AT_IN = re.compile(r"\s*[\[({<]\s*(?:at|@|ät|arroba)\s*[\])}>]\s*", re.I)
 _DOT_IN = re.compile(rf"\s*[\[({{<]\s*(?:{_POINT}|\.)\s*[\])}}>]\s*", re.I)
-_WORDS = re.compile(rf"[a-z0-9._%+-]{{1,64}}(\s+(?:at|arroba)\s+)[a-z0-9-]{{2,63}}(?:\s+{_POINT}\s+[a-z0-9-]{{2,63}}){{1,3}}(?![\w])", re.I)
+_WORDS = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9._%+-]++(\s++(?:at|arroba)\s++)[a-z0-9-]++(?:\s++{_POINT}\s++[a-z0-9-]++)+(?![\w])", re.I)
 _POINT_WORD = re.compile(rf"\s+{_POINT}\s+", re.I)
 _TRIGGER = re.compile(rf"\s{_POINT}\s", re.I)
 
@@ -208,9 +213,9 @@ def disguised_spans(text: str) -> list[Span]:
 
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(plain, all): all adds the disguised ones that overlap no plain one of their kind."""
+    """(plain, all): all adds the disguised ones that no plain one of their kind covers (one that reaches further comes beside it)."""
     plain = plain_spans(text)
-    more = [s for s in disguised_spans(text) if not any(p[0] == s[0] and p[1] < s[2] and s[1] < p[2] for p in plain)]
+    more = [s for s in disguised_spans(text) if not any(p[0] == s[0] and p[1] <= s[1] and s[2] <= p[2] for p in plain)]
     order = {kind: i for i, kind in enumerate(KINDS)}
     return plain, sorted({*plain, *more}, key=lambda s: (order[s[0]], s[1], s[2])) if more else plain
 
@@ -242,7 +247,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: str) -> str:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the one that begins first, the longer."""
+    """The text with every span replaced by its kind in brackets; overlapping spans give way together, to the kind of the one that
+    begins first (the longer of two that begin together)."""
     every = spans(text)[1]
     if not every:
         return text
@@ -250,7 +256,7 @@ def masked(text: str) -> str:
     for kind, start, end in sorted(every, key=lambda s: (s[1], -s[2])):
         if start >= at:
             parts += [text[at:start], f"[{kind}]"]
-            at = end
+        at = max(at, end)
     return "".join([*parts, text[at:]])
 
 

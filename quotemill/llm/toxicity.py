@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers run over a clause's words and are composed: the lexicon turns words into signs (insult with a weight, target,
-threat, negation, report), and state machines then mark which insults and threats are aimed at someone, negated or reported.
-Scored are matched clauses, never single words. The insults are learned: words and word beginnings of labelled texts (a bounded
-sample, about `SAMPLE` rows) whose share among toxic texts is many times that among clean ones. A logistic curve over the
-marked clauses, fitted on the same rows, gives the score.
+The lexicon transducer turns the words of a clause into signs (insult with a weight, target, threat, negation, reported speech).
+Small machines, each with its own states, read the signs: negation reaches over the next words, reported speech to the end of
+the clause, a target forwards and (over the clause read backwards) to what comes before it. `compose` makes one machine of
+them, whose states are tuples of theirs; an accepting machine then turns its outputs into what the clause says: an insult or
+threat that is aimed at someone, negated, reported or neither. Scored are matched clauses. The insults are learned: words and
+word beginnings of labelled texts (a bounded sample, about `SAMPLE` rows) whose share among toxic texts is many times that among
+clean ones. A logistic curve over the marked clauses, fitted on the same rows, gives the score.
 """
 
 from __future__ import annotations
@@ -60,32 +62,66 @@ class Lexicon:
         return out
 
 
-def _scope(signs: list[tuple[str, float]], sign: str, reach: int | None, both_ways: bool = False) -> list[bool]:
-    """A transducer with a counter for state: within `reach` words after a sign (or before it too), or to the clause's end."""
-    out, left = [], 0
-    for kind, _ in signs:
-        out.append(left > 0)
-        left = (reach or len(signs)) + 1 if kind == sign else left
-        left -= reach is not None and left > 0
-    if both_ways:
-        back = _scope(signs[::-1], sign, reach)[::-1]
-        out = [a or b for a, b in zip(out, back)]
-    return out
+SIGNS = ("", "insult", "threat", "target", "negation", "report")
+
+
+class Machine:
+    """A deterministic transducer: next[state][sign] and out[state][sign], before the sign moves the state; state 0 begins."""
+
+    def __init__(self, next_: list[dict[str, int]], out: list[dict[str, tuple]]):
+        self.next, self.out = next_, out
+
+    def run(self, signs: list[str]) -> list[tuple]:
+        state, found = 0, []
+        for sign in signs:
+            found.append(self.out[state][sign])
+            state = self.next[state][sign]
+        return found
+
+
+def within(sign: str, reach: int | None) -> Machine:
+    """Says of each place whether `sign` stood at most `reach` places before it (None: anywhere before)."""
+    left = range(2 if reach is None else reach + 1)
+    step = lambda n, s: left[-1] if s == sign else n if reach is None else max(0, n - 1)
+    return Machine([{s: step(n, s) for s in SIGNS} for n in left], [{s: (n > 0,) for s in SIGNS} for n in left])
+
+
+def compose(*machines: Machine) -> Machine:
+    """One machine that runs all of them over the same signs: its states are the reachable tuples of theirs, its outputs theirs in a row."""
+    states: dict[tuple, int] = {(0,) * len(machines): 0}
+    next_: list[dict[str, int]] = []
+    out: list[dict[str, tuple]] = []
+    for state in (todo := [*states]):
+        next_.append({})
+        out.append({})
+        for sign in SIGNS:
+            to = tuple(m.next[q][sign] for m, q in zip(machines, state))
+            if to not in states:
+                states[to] = len(states)
+                todo.append(to)
+            next_[-1][sign] = states[to]
+            out[-1][sign] = sum((m.out[q][sign] for m, q in zip(machines, state)), ())
+    return Machine(next_, out)
+
+
+FORWARDS = compose(within("negation", _REACH["negated"]), within("report", None), within("target", _REACH["aimed"]))
+BACKWARDS = within("target", _REACH["aimed"])
+#: What an insult says, and a threat, where (negated, reported, aimed) hold; a threat that isn't aimed, or is negated or reported, has no accepting state.
+ACCEPTS = {
+    ("insult", n, r, a): "reported" if r else "negated" if n else "aimed" if a else "plain" for n in (False, True) for r in (False, True) for a in (False, True)
+} | {("threat", False, False, True): "threat"}
 
 
 def clause_marks(words: list[str], lexicon: Lexicon) -> dict[str, float] | None:
     """The composed transducers over one clause: weights by mark; None if nothing matches."""
-    signs = lexicon.signs(words)
-    if not any(kind in ("insult", "threat") for kind, _ in signs):
+    read = lexicon.signs(words)
+    signs = [kind for kind, _ in read]
+    if "insult" not in signs and "threat" not in signs:
         return None
-    negated, reported, aimed = _scope(signs, "negation", _REACH["negated"]), _scope(signs, "report", None), _scope(signs, "target", _REACH["aimed"], True)
     out = dict.fromkeys(MARKS, 0.0)
-    for i, (kind, weight) in enumerate(signs):
-        if kind == "threat":
-            if aimed[i] and not negated[i] and not reported[i]:
-                out["threat"] += weight
-        elif kind == "insult":
-            out["reported" if reported[i] else "negated" if negated[i] else "aimed" if aimed[i] else "plain"] += weight
+    for (kind, weight), (negated, reported, aimed), (later,) in zip(read, FORWARDS.run(signs), BACKWARDS.run(signs[::-1])[::-1]):
+        if mark := ACCEPTS.get((kind, negated, reported, aimed or later)):
+            out[mark] += weight
     out["clauses"] = float(any(out.values()))
     return out
 
@@ -106,6 +142,8 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
     def score(self, text: str | None) -> float:
+        if not self.weights.any():
+            return 0.0  # nothing learned speaks for toxicity
         x = float(self.weights[0] + np.dot(self.weights[1:], marks(text, self.lexicon)))
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
@@ -132,8 +170,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """From labels(doc_id, toxic) and the texts of docs; a document with several labels counts as toxic if one says so.
 
-    Labels without id or value and texts that are null or empty teach nothing; with none left the score is 0.5 everywhere
-    but for nothing learned (weights 0).
+    Labels without id or value and texts that are null or empty teach nothing; with none left, or labels of one
+    kind only, every score is 0.
     """
     tune(docs.sparkSession)
     labels = columns(labels, doc_id="long", toxic="int").dropna().groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))

@@ -105,3 +105,26 @@ def test_quality_orders_several_grades(spark):
     none = quality.grade(docs.limit(3), quality.fit(docs, labels.limit(0))).collect()
     assert len(none) == 3 and none[0].keep is None
     assert quality.grade(spark.createDataFrame([(None, None)], "doc_id long, text string"), model).first().tail is not None
+
+
+def test_composed_machines_read_as_a_plain_look_around_every_place():
+    import random
+
+    from quotemill.llm import toxicity
+
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "moron": 1.5}, {"scum": 1.0})
+    vocabulary = ["idiot", "moron", "scummy", "you", "he", "not", "never", "said", "kill", "hurt", "a", "b", "c", "d"]
+    rnd = random.Random(5)
+    for _ in range(3000):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randrange(16))]
+        want = dict.fromkeys(toxicity.MARKS, 0.0)
+        for i, w in enumerate(words):
+            negated, reported = any(x in toxicity.NEGATIONS for x in words[max(0, i - 3) : i]), any(x in toxicity.REPORTS for x in words[:i])
+            aimed = any(x in toxicity.TARGETS for x in words[max(0, i - 6) : i] + words[i + 1 : i + 7])
+            if weight := lexicon.insult(w):
+                want["reported" if reported else "negated" if negated else "aimed" if aimed else "plain"] += weight
+            elif w in toxicity.THREATS and aimed and not negated and not reported:
+                want["threat"] += 1.0
+        want["clauses"] = float(any(want.values()))
+        got = toxicity.clause_marks(words, lexicon)
+        assert got == want or got is None and not want["clauses"]

@@ -74,3 +74,22 @@ def test_rows(spark):
     assert hidden.columns == df.columns
     assert sorted(r.text or "" for r in hidden.collect()) == ["", "", "[email] and [email]", "[email] and [email]", "[ip]"]
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_spans_that_reach_beyond_plain_ones_and_odd_letters():
+    cases = {
+        "mail john.dоe@example.com now": ("email:5:25", "mail [email] now"),
+        "a​b@example.com": ("email:0:15", "[email]"),
+        "jane at example\ndot\norg": ("email:0:23", "[email]"),
+        "x at example\tdot\tcom": ("email:0:20", "[email]"),
+        "call plus one four five six seven eight nine two İ": ("phone:5:48", "call [phone] İ"),
+        "\U0001d423\U0001d428\U0001d41e@\U0001d41e\U0001d431.com": ("email:0:10", "[email]"),
+    }
+    for text, (span, masked) in cases.items():
+        long = "word " * 5000
+        for before in ("", long):
+            kind, start, end = span.split(":")
+            want = (kind, int(start) + len(before), int(end) + len(before))
+            plain, every = pii.spans(before + text)
+            assert want in every and set(plain) <= set(every)
+            assert pii.masked(before + text) == before + masked
