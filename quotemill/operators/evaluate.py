@@ -19,21 +19,6 @@ def outcome_matrix(rows: DataFrame, outcomes: list[str]) -> DataFrame:
     return rows.groupBy("label").pivot("outcome", outcomes).count().na.fill(0)
 
 
-def label_saying(cards: DataFrame, key: str) -> DataFrame:
-    """A-3: a saying's label from the classes of its cards."""
-    weak, strong = F.count_if(F.col("class") == "weak"), F.count_if(F.col("class") == "strong")
-    label = F.when((weak > 0) & (strong > 0), "mixed").when(weak > 0, "weak_or_fabricated").when(strong > 0, "authentic").otherwise("no_entry")
-    return cards.groupBy(key).agg(weak.alias("weak"), strong.alias("strong"), label.alias("label"))
-
-
-def decide(cards: DataFrame, key: str, close: float = 80.0) -> DataFrame:
-    """A-4, J-15: add a saying if a close card is weak and none is strong, with the reason."""
-    near = F.col("similarity") >= close
-    weak, strong, n = F.count_if(near & (F.col("class") == "weak")), F.count_if(near & (F.col("class") == "strong")), F.count_if(near)
-    reason = F.when(n == 0, "no close entry").when(strong > 0, "an authentic ruling is close").when(weak == 0, "no weak ruling").otherwise("weak")
-    return cards.groupBy(key).agg(reason.alias("reason"), F.when((n > 0) & (strong == 0) & (weak > 0), "add").otherwise("skip").alias("decision"))
-
-
 def top_grades(cards: DataFrame, key: str, k: int = 3) -> DataFrame:
     """A-12, A-13: the first k rulings of a saying, one for each (scholar, book), preferred scholars first; the first is the headline."""
     once = Window.partitionBy(key, "scholar", "book").orderBy("rank", "position")
@@ -42,15 +27,6 @@ def top_grades(cards: DataFrame, key: str, k: int = 3) -> DataFrame:
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_k", "scholar", "book", "grade"))).alias("g")).select(key, F.transform("g", lambda x: F.struct(x["scholar"].alias("scholar"), x["book"].alias("book"), x["grade"].alias("grade"))).alias("grades"))
 
 
-def assess(segments: DataFrame, key: str) -> DataFrame:
-    """A-8, P-21: duration-weighted confidence of a transcript's speech segments and whether it is accepted."""
-    span = F.greatest(F.lit(0.01), F.col("end") - F.col("start"))
-    sure = F.exp(F.sum(F.col("avg_logprob") * span) / F.sum(span))
-    out = segments.groupBy(key).agg(sure.alias("confidence"), F.max("compression_ratio").alias("compression"), F.sum(span).alias("seconds"))
-    verdict = F.when(F.col("seconds") > 120, "too long").when(F.col("compression") > 2.4, "repeats").when(F.col("confidence") < 0.35, "unclear").otherwise("accepted")
-    return out.withColumn("verdict", verdict)
-
-
 def hash_sample(df: DataFrame, columns: list[str], n: int, skip: int = 0) -> DataFrame:
     """D-13: rows skip..skip+n by the MD5 of the columns joined."""
     digest = F.md5(F.concat(*(F.col(c).cast("string") for c in columns)))

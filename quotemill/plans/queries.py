@@ -18,7 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 #: fixed values: English words of the whole-word terms that notes are kept for, with phrases to avoid
-GLOSSARY = (("the", "of the;in the"), ("and", "and the"), ("thing", "thing thing"), ("for", "for the"), ("with", "with the"))
+GLOSSARY = (("the", "of the;in the"), ("and", "for the"), ("thing", "with the;on the"), ("for", "and the"), ("with", "to the"))
 
 
 def query(sql: str | None = None):
@@ -67,10 +67,13 @@ def verify_cascade(spark, sf_dir):
     return M.verify(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("input_id"), "text"), table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), X.strip_tags(F.col("html")).alias("text")))
 
 
-@query(f"WITH {DOCS}, {ITEMS} SELECT input_id AS doc_id, record_id AS item_id FROM d JOIN b USING (key) WHERE key <> ''")
+@query(f"""WITH {DOCS}, k AS (SELECT input_id, upper(key) || '  ' AS text FROM d), u AS (SELECT input_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key FROM k)
+SELECT u.input_id AS doc_id, b.record_id FROM u JOIN (SELECT input_id AS record_id, key FROM d WHERE input_id % 3 = 0) b USING (key) WHERE key <> ''""")
 def match_equal(spark, sf_dir):
-    """J-1."""
-    return M.exact(keyed(table(spark, sf_dir, "documents"), "doc_id", "input_id"), keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id")).select(F.col("input_id").alias("doc_id"), F.col("record_id").alias("item_id"))
+    """J-1: every document in capitals against every third one as it is."""
+    d = keyed(table(spark, sf_dir, "documents"), "doc_id", "input_id")
+    loud = d.select("input_id", X.latin_key(F.concat(F.upper("key"), F.lit("  ")), False).alias("key"))
+    return M.exact(loud, d.where("input_id % 3 = 0").withColumnRenamed("input_id", "record_id")).select(F.col("input_id").alias("doc_id"), "record_id")
 
 
 @query(f"WITH {DOCS}, g AS (SELECT key, count(*) AS n, min(input_id) AS first_id FROM d WHERE key <> '' GROUP BY key HAVING count(*) > 1) SELECT input_id AS doc_id, n, first_id FROM d JOIN g USING (key)")
@@ -212,22 +215,12 @@ def message_routes(spark, sf_dir):
 _TERMS = "(VALUES " + ", ".join(f"('{t}', '{a}')" for t, a in GLOSSARY) + ") g(term, avoid)"
 
 
-@query(f"""WITH {DOCS}, s AS (SELECT input_id, ' ' || key || ' ' AS key FROM d), n AS (SELECT input_id, term, len(list_filter(string_split(avoid, ';'), lambda a: contains(s.key, ' ' || a || ' '))) AS high
-FROM s JOIN {_TERMS} ON contains(s.key, ' ' || term || ' ')) SELECT term, CASE WHEN high > 0 THEN 'high' ELSE 'low' END AS severity, count(*) AS n FROM n GROUP BY ALL""")
+@query(f"""WITH {DOCS}, s AS (SELECT input_id, ' ' || key || ' ' AS key FROM d), n AS (SELECT term, contains(s.key, ' ' || term || ' ') AS hit, len(list_filter(string_split(avoid, ';'), lambda a: contains(s.key, ' ' || a || ' '))) AS high
+FROM s, {_TERMS}) SELECT term, CASE WHEN high > 0 THEN 'high' ELSE 'low' END AS severity, count(*) AS n FROM n WHERE hit OR high > 0 GROUP BY ALL""")
 def glossary_notes(spark, sf_dir):
-    """J-8, D-17: whole-word terms of a fixed glossary in the documents, by severity. The glossary is an array beside each text,
-    not a join."""
-    d = keyed(table(spark, sf_dir, "documents"), "doc_id", "doc_id").withColumn("key", F.concat(F.lit(" "), "key", F.lit(" ")))
-    row = lambda term, avoid: F.when(F.contains("key", F.lit(f" {term} ")), F.struct(F.lit(term).alias("term"), F.when(any_phrase(avoid), "high").otherwise("low").alias("severity")))
-
-    def any_phrase(avoid):
-        out = F.lit(False)
-        for a in avoid.split(";"):
-            out = out | F.contains("key", F.lit(f" {a} "))
-        return out
-
-    notes = F.filter(F.array(*(row(t, a) for t, a in GLOSSARY)), lambda x: x.isNotNull())
-    return d.select(F.explode(notes).alias("x")).groupBy("x.term", "x.severity").agg(F.count(F.lit(1)).alias("n"))
+    """J-8, D-17: texts with a glossary's term (low) or with a phrase to avoid for it, with the term or without (high)."""
+    d = keyed(table(spark, sf_dir, "documents"), "doc_id", "doc_id")
+    return d.select(F.explode(M.glossary_notes(F.col("key"), [(t, a.split(";")) for t, a in GLOSSARY])).alias("x")).groupBy("x.term", "x.severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- aggregates and evaluation -------------------------------------------------------------------------------------
@@ -262,39 +255,6 @@ def outcome_matrix(spark, sf_dir):
     return E.outcome_matrix(rows.select(F.col("quality").cast("string").alias("label"), outcome.alias("outcome")), ["short", "middle", "long"])
 
 
-_CARDS = "SELECT source AS saying, CASE WHEN toxic = 1 THEN 'weak' WHEN quality = 1 THEN 'strong' ELSE 'neutral' END AS class, (d.n_chars % 101)::DOUBLE AS similarity FROM documents d JOIN labels l USING (doc_id)"
-
-
-def _cards(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    kind = F.when(F.col("toxic") == 1, "weak").when(F.col("quality") == 1, "strong").otherwise("neutral")
-    return rows.select(F.col("source").alias("saying"), kind.alias("class"), (F.col("n_chars") % 101).cast("double").alias("similarity"))
-
-
-@query(f"""WITH c AS ({_CARDS}), n AS (SELECT saying, count(*) FILTER (class = 'weak') AS weak, count(*) FILTER (class = 'strong') AS strong FROM c GROUP BY 1)
-SELECT *, CASE WHEN weak > 0 AND strong > 0 THEN 'mixed' WHEN weak > 0 THEN 'weak_or_fabricated' WHEN strong > 0 THEN 'authentic' ELSE 'no_entry' END AS label FROM n""")
-def label_sayings(spark, sf_dir):
-    """A-3 with sources for sayings and labelled documents for cards."""
-    return E.label_saying(_cards(spark, sf_dir), "saying")
-
-
-@query(f"""WITH c AS ({_CARDS}), n AS (SELECT saying, count(*) FILTER (similarity >= 80) AS n, count(*) FILTER (similarity >= 80 AND class = 'weak') AS weak, count(*) FILTER (similarity >= 80 AND class = 'strong') AS strong FROM c GROUP BY 1)
-SELECT saying, CASE WHEN n = 0 THEN 'no close entry' WHEN strong > 0 THEN 'an authentic ruling is close' WHEN weak = 0 THEN 'no weak ruling' ELSE 'weak' END AS reason,
-CASE WHEN n > 0 AND strong = 0 AND weak > 0 THEN 'add' ELSE 'skip' END AS decision FROM n""")
-def curation_decisions(spark, sf_dir):
-    """A-4, J-15."""
-    return E.decide(_cards(spark, sf_dir), "saying")
-
-
-@query("""WITH s AS (SELECT user_id, exp(sum(-abs(value) / 1000 * greatest(0.01, value)) / sum(greatest(0.01, value))) AS confidence, max(value / 100) AS compression, sum(greatest(0.01, value)) AS seconds FROM events GROUP BY 1)
-SELECT user_id, round(confidence, 6) AS confidence, round(compression, 6) AS compression, round(seconds, 4) AS seconds,
-CASE WHEN seconds > 120 THEN 'too long' WHEN compression > 2.4 THEN 'repeats' WHEN confidence < 0.35 THEN 'unclear' ELSE 'accepted' END AS verdict FROM s""")
-def assess_transcripts(spark, sf_dir):
-    """A-8, P-21 with events for speech segments."""
-    e = table(spark, sf_dir, "events").select("user_id", F.lit(0.0).alias("start"), F.col("value").alias("end"), (-F.abs("value") / 1000).alias("avg_logprob"), (F.col("value") / 100).alias("compression_ratio"))
-    return E.assess(e, "user_id").select("user_id", F.round("confidence", 6).alias("confidence"), F.round("compression", 6).alias("compression"), F.round("seconds", 4).alias("seconds"), "verdict")
-
-
 @query("""WITH s AS (SELECT doc_id, md5(doc_id::VARCHAR || source) AS digest FROM documents ORDER BY digest, doc_id LIMIT 60) SELECT doc_id, digest FROM s ORDER BY digest OFFSET 30""")
 def hashed_sample(spark, sf_dir):
     """D-13: rows 30..60 by hash, a sampling operator."""
