@@ -105,7 +105,8 @@ _LETTER |= {first + d: str(d) for first in (0x660, 0x6F0, 0x966) for d in range(
 _LETTER |= {ord(c): "" for c in _INVISIBLE}
 _DIGIT = {word: d for d, words in _DIGITS.items() for word in words.split()}
 
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, _LETTER))) + "]")
+# letters beyond the first plane apart, as a range: among the others they would make the class slow
+_ODD = (re.compile("[" + "".join(re.escape(chr(c)) for c in _LETTER if c < 0x10000) + "]"), re.compile("[\U0001d400-\U0001d7ff]"))
 _NAME = "|".join(sorted(_DIGIT, key=len, reverse=True))
 #: Three digit words in a row, digits among them allowed; a run may begin with "plus".
 _RUN = re.compile(rf"(?<![^\W_])(?:plus[\s-]+)?(?:(?:{_NAME}|[0-9])(?:[\s,.-]+(?:dot[\s]+|point[\s]+|punkt[\s]+|punto[\s]+)?|(?![^\W_]))){{4,}}")
@@ -156,7 +157,7 @@ class Rewritten:
 
 
 def _letters(text: str) -> list[Edit]:
-    return [] if text.isascii() else [(m.start(), m.end(), _LETTER[ord(m[0])]) for m in _ODD.finditer(text)]
+    return [] if text.isascii() else [(m.start(), m.end(), _LETTER[ord(m[0])]) for odd in _ODD for m in odd.finditer(text) if ord(m[0]) in _LETTER]
 
 
 def _at_and_dot(text: str) -> list[Edit]:
