@@ -52,6 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over sf_dir's documents; an empty table gives an empty one. Documents without text have no language and go in the
+    first stage; rows that share a doc_id count as copies in the second."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{work_dir(spark)}/quotemill/{name}-{uuid.uuid4().hex}"
