@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.similarity import state
 from ..functions.text import unreliable
+from .rulings import apply_answers
 
 VERDICTS = "struct<candidates:array<struct<n:int,same:boolean>>>"
 
@@ -29,18 +29,11 @@ def parse_segments(answer: Column, most: int = 8) -> Column:
 
 
 def apply_model_verdicts(cands: DataFrame, answers: DataFrame) -> DataFrame:
-    """C-13, C-14: of the first three candidates that aren't exact and under 90 with semantic 60 and lexical 25 or more, a
-    strong confirmation lifts to 75 and a rejection caps at 60; verses are never lifted; a match on meaning alone that isn't
-    confirmed stays under 75. answers(input_id, n, same, strong); ranks follow confidence afterwards."""
-    rows = cands.join(answers.select("input_id", F.col("n").alias("rank"), "same", "strong"), ["input_id", "rank"], "left")
-    asked = (F.col("rank") <= 3) & (F.col("stage") != "exact") & (F.col("confidence") < 90) & (F.col("semantic") >= 60) & (F.col("lexical") >= 25)
-    yes = asked & F.coalesce(F.col("same") & F.col("strong"), F.lit(False)) & (F.col("kind") != "quran")
-    no = asked & F.coalesce(~F.col("same"), F.lit(False))
-    conf = F.when(yes, F.greatest("confidence", F.lit(75))).when(no, F.least("confidence", F.lit(60))).otherwise(F.col("confidence"))
-    conf = F.when(F.col("meaning_only") & ~yes & (conf >= 75), 74).otherwise(conf).cast("int")
-    rows = rows.withColumn("confidence", conf).drop("same", "strong")
-    best = Window.partitionBy("input_id").orderBy(F.desc("confidence"), "record_id")
-    return rows.withColumn("rank", F.row_number().over(best)).withColumn("state", state(F.col("confidence")))
+    """C-13, C-14 (`rulings.apply_answers`) with answers(input_id, n, same, strong): the candidates with their new ranks,
+    confidences and states; n counts the candidates that were asked about."""
+    named = answers.select("input_id", "n", "same", F.when(F.col("strong"), "strong/").otherwise("light/").alias("model"))
+    new = apply_answers(cands, named, strong="^strong/").select("input_id", "record_id", "rank", "confidence")
+    return cands.drop("rank", "confidence").join(new, ["input_id", "record_id"]).withColumn("state", state(F.col("confidence")))
 
 
 def with_rulings(top: DataFrame, corpus: DataFrame) -> DataFrame:
