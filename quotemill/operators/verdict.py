@@ -66,7 +66,7 @@ def shown(report: DataFrame) -> DataFrame:
     """R-2, R-5: rulings with their record's link where they have none; nothing attributed when abstaining."""
     hidden = F.col("state").isin("abstain", "referral")
     links = F.transform("grades", lambda g: g.withField("url", F.coalesce(F.nullif(g["url"], F.lit("")), F.col("source_url"))))
-    return report.withColumn("grades", F.when(~hidden, links)).withColumn("closest_only", F.col("state").isin("uncertain", "abstain")).withColumn("reason", reason(F.col("state"), F.col("confidence")))
+    return report.withColumn("grades", F.when(~hidden, links)).withColumn("closest_only", F.col("state") == "uncertain").withColumn("reason", reason(F.col("state"), F.col("confidence")))
 
 
 def early_exit(language: Column, asks_ruling: Column, asks_text: Column) -> Column:

@@ -324,3 +324,13 @@ def cleaned_lines(spark, sf_dir):
     """N-23, P-17: what is left of every page's text, line by line."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]+>", "\n").alias("text"))
     return pages.select("page_id", F.length(P.clean_lines(F.col("text"))).alias("chars"))
+
+
+@query(f"""WITH t AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'ﷺ' WHEN doc_id % 4 = 1 THEN 'صلى الله عليه وسلم ' || text ELSE text END AS text FROM documents), p AS (SELECT regexp_replace(text, '{X.HONORIFICS_SHOWN}', ' ', 'g') AS text FROM t),
+n AS (SELECT len(regexp_extract_all(text, '[ء-يٱ-ۓ]')) AS ar, len(regexp_extract_all(text, '[A-Za-z]')) AS la FROM p WHERE text IS NOT NULL) SELECT CASE WHEN ar + la > 0 THEN CASE WHEN ar >= 0.6 * la THEN 'ar' ELSE 'en' END END AS script, count(*) AS n FROM n GROUP BY 1""")
+def scripts_shown(spark, sf_dir):
+    """N-26, with honorifics put before every fourth text and alone in another fourth."""
+    i = F.col("doc_id") % 4
+    text = F.when(i == 0, "ﷺ").when(i == 1, F.concat(F.lit("صلى الله عليه وسلم "), "text")).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(text.alias("text")).where("text is not null")
+    return rows.groupBy(X.script_or_null(F.col("text")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
