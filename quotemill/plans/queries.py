@@ -63,7 +63,7 @@ def verify_contained(spark, sf_dir):
 
 @query()
 def verify_cascade(spark, sf_dir):
-    """J-1..J-3, J-5, C-5..C-12, D-1, D-3: passages looked for in the documents, five ranked candidates each."""
+    """J-1..J-3, J-5, A-2, C-5..C-12, C-15, D-1, D-3: passages looked for in the texts of pages, five ranked candidates each."""
     return M.verify(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("input_id"), "text"), table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), X.strip_tags(F.col("html")).alias("text")))
 
 
