@@ -35,13 +35,16 @@ def gram_counts(text: str | None) -> np.ndarray:
     out = np.zeros(DIMS, np.int64)
     if not text:
         return out
+    ends = np.array([32], np.uint32)  # the last two letters or spaces before a block
     for at in range(0, len(text), _BLOCK):
-        part = f" {text[max(0, at - 2) : at + _BLOCK] if at else text[:_BLOCK]} ".lower()
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        part = text[at : at + _BLOCK].lower().replace("ς", "σ")
+        part += " " if at + _BLOCK >= len(text) else ""
+        c = np.concatenate((ends, np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)))
         c = np.where(c < 0x250, _TABLE[np.minimum(c, 0x24F)], c)
         spaces = c == 32
         keep = ~(spaces[:-1] & spaces[1:])  # one space between words
         c = c[np.concatenate((keep, [True]))]
+        ends = c[-2:]
         if len(c) < 3:
             continue
         h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA6B)) ^ (c[2:] * np.uint32(0xC2B2AE35))

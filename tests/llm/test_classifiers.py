@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,11 +36,51 @@ def test_language_edges(spark, tables):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
-def test_gram_counts_dont_depend_on_blocks(monkeypatch):
-    text = "Größe, the naïve  café: déjà vu. " * 50
-    whole = language_id.gram_counts(text)
-    monkeypatch.setattr(language_id, "_BLOCK", 64)
-    assert abs(whole - language_id.gram_counts(text)).sum() < 0.2 * whole.sum()
+def plain_grams(text):
+    """Hashed letter trigrams one by one, as a dictionary."""
+    low = "".join(c if ord(c) >= 0x250 or c.isalpha() else " " for c in (text or "").lower().replace("ς", "σ"))
+    low = re.sub(" +", " ", f" {low} ") if text else ""
+    out = {}
+    for a, b, c in zip(low, low[1:], low[2:]):
+        h = (ord(a) * 0x9E3779B1 & 0xFFFFFFFF) ^ (ord(b) * 0x85EBCA6B & 0xFFFFFFFF) ^ (ord(c) * 0xC2B2AE35 & 0xFFFFFFFF)
+        h ^= h >> 15
+        place = (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 20
+        out[place] = out.get(place, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 64, 7, 2, 1])
+def test_gram_counts_by_plain_dictionaries_whatever_the_blocks(monkeypatch, block):
+    monkeypatch.setattr(language_id, "_BLOCK", block)
+    for text in ("Größe, the naïve  café: déjà vu. " * 9, "ΟΔΟΣ  Σ1ας--İx", "a", " ", "", "ab", "...", None, "x" * 130 + "   " + "y" * 70):
+        counts = language_id.gram_counts(text)
+        assert {i: int(n) for i, n in enumerate(counts) if n} == plain_grams(text), text
+
+
+def test_language_by_plain_dictionaries(spark):
+    words = {"en": "the and of with house river they were", "de": "der und nicht mit haus fluss sie waren"}
+    rows = [(i, " ".join(words[lang].split()[(i + k) % 8] for k in range(6)), lang) for i in range(40) for lang in [("en", "de")[i % 2]]]
+    docs = spark.createDataFrame([*rows, rows[0], (50, None, "en"), (51, "no language", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    learnt = [t for _, t, _ in [*rows, rows[0]]]
+    seen = {}
+    for t in learnt:
+        for g in plain_grams(t):
+            seen[g] = seen.get(g, 0) + 1
+    idf = lambda g: math.log((len(learnt) + 1) / (seen.get(g, 0) + 1))
+    assert np.allclose(model.idf, [idf(g) for g in range(language_id.DIMS)], atol=1e-5)
+    assert sorted(set(model.languages)) == ["de", "en"] and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+    for r in language_id.identify(docs, model).join(docs, "doc_id").collect():
+        weights = {g: math.log1p(n) * idf(g) for g, n in plain_grams(r.text).items()}
+        size = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * float(c[g]) for g, w in weights.items()) / size if size else 0.0 for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: (cosines[i], -i))
+        if r.text is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+        else:
+            assert abs(r.score - min(1, max(0, cosines[best]))) < 1e-4
+            assert r.lang_pred == model.languages[best] or max(c for c, l in zip(cosines, model.languages) if l == r.lang_pred) > cosines[best] - 1e-4
+            assert r.rejected == (r.score < min(f for c, f in zip(cosines, model.floors) if c > cosines[best] - 1e-4))
 
 
 def auc(score, y):
@@ -92,6 +135,45 @@ def test_quality_held_out(spark, tables):
     assert np.mean([r.keep == (r.quality == 1) for r in got]) > 0.85
 
 
+def ordinal_loss(w, t, x, y):
+    at_most = lambda k, z: 0.0 if k < 0 else 1.0 if k >= len(t) else 1 / (1 + math.exp(z - t[k]))
+    total = 0.0
+    for (places, values), k in zip(x, y):
+        z = sum(w[p] * v for p, v in zip(places, values))
+        total -= math.log(max(1e-12, at_most(k, z) - at_most(k - 1, z)))
+    return total / len(y)
+
+
+def test_quality_reaches_the_least_loss_of_a_plain_search():
+    rnd = np.random.default_rng(2)
+    x = [(np.array([0, 1]), rnd.normal(size=2).round(2)) for _ in range(80)]
+    z = np.array([1.5 * v[0] - v[1] for _, v in x]) + rnd.logistic(size=80)
+    y = (z > -0.7).astype(int) + (z > 1.1)
+    w, t = quality.cumulative_link(x, y, 3, rounds=200)
+    assert t[0] < t[1] and not w[2:].any()
+    best, step = [0.0, 0.0, -0.5, 0.5], 0.5
+    loss = ordinal_loss(best[:2], best[2:], x, y)
+    while step > 1e-3:  # one number at a time, up or down
+        moved = False
+        for i in range(4):
+            for way in (step, -step):
+                tried = [v + way * (i == j) for j, v in enumerate(best)]
+                if tried[2] < tried[3] and (new := ordinal_loss(tried[:2], tried[2:], x, y)) < loss - 1e-9:
+                    best, loss, moved = tried, new, True
+        step /= 1 if moved else 2
+    assert ordinal_loss(w, t, x, y) < loss + 0.003
+    assert np.allclose([*w[:2], *t], best, atol=0.15)
+
+
+def test_quality_reads_grades_off_the_thresholds():
+    model = quality.Model(np.zeros(quality.DIMS), np.array([-1.0, 0.5]), [0, 2, 5])
+    upto = [1 / (1 + math.exp(1.0)), 1 / (1 + math.exp(-0.5))]
+    each = [upto[0], upto[1] - upto[0], 1 - upto[1]]
+    for text in ("some words", "", None):
+        assert np.allclose(model.read(text, 2), (2 * each[1] + 5 * each[2], each[1] + each[2]))
+        assert np.allclose(model.read(text, None), (2 * each[1] + 5 * each[2], each[2]))
+
+
 def test_quality_orders_several_grades(spark):
     text = {0: "bad bad bad", 1: "so so text", 2: "a good text", 3: "very fine prose"}
     docs = spark.createDataFrame([(i, text[i % 4] + f" w{i}") for i in range(400)], "doc_id long, text string")
