@@ -32,9 +32,9 @@ def normalised(line: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Structs (depth, key, line) of the lines; key is null for lines without words."""
+    """Structs (depth, body, line) of the lines; the body is empty for lines without words."""
     split = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.transform(split, lambda x: F.struct(depth(x).alias("depth"), F.when(normalised(x) != "", F.md5(normalised(x))).alias("key"), x.alias("line")))
+    return F.transform(split, lambda x: F.struct(depth(x).alias("depth"), normalised(x).alias("body"), x.alias("line")))
 
 
 def unquoted(found: Column) -> Column:
@@ -64,17 +64,20 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     (conv_id, turn) have the same links, from all their lines. An empty table gives an empty one; other columns play no part.
     """
     rows = columns(messages, conv_id="long", turn="long", role="string", text="string").withColumn("found", lines(F.col("text")))
-    depths = F.transform("found", lambda x: F.when(x["key"].isNotNull(), x["depth"]).otherwise(0))
-    rows = rows.select(
-        "conv_id", "turn", "role", "found",
-        F.coalesce(F.array_max(depths), F.lit(0)).alias("quote_depth"),
-        F.size(F.filter(depths, lambda d: d > 0)).alias("n_quoted"),
-    )
     placed = rows.where("conv_id is not null and turn is not null")
-    each = placed.select("conv_id", "turn", F.explode("found").alias("x")).select("conv_id", "turn", "x.depth", "x.key").where("key is not null")
-    # one row for each line, message and depth, so that repeated lines count once before they are dealt out
-    each = each.groupBy("conv_id", "key", "turn", "depth").agg(F.count(F.lit(1)).alias("times"))
+    each = placed.select("conv_id", "turn", F.explode("found").alias("x")).where("x.body <> ''")
+    each = each.select("conv_id", "turn", F.col("x.depth").alias("depth"), F.unhex(F.md5("x.body")).alias("key"))
+    # one row for each line, message and depth, so that repeated lines count once before they are dealt out; written, since three
+    # branches of the plan read it
+    each = materialize(each.groupBy("conv_id", "key", "turn", "depth").agg(F.count(F.lit(1)).alias("times")))
     each = each.withColumn("own", F.when(F.col("depth") == 0, F.col("turn")))
+    depths = F.transform("found", lambda x: F.when(x["body"] != "", x["depth"]).otherwise(0))
+    rows = rows.select(
+        "conv_id", "turn", "role",
+        F.coalesce(F.array_max(depths), F.lit(0)).cast("int").alias("quote_depth"),
+        F.size(F.filter(depths, lambda d: d > 0)).cast("long").alias("n_quoted"),
+        unquoted(F.col("found")).alias("text"),
+    )
     back = latest_before(each, ["conv_id", "key"], "turn", "own", "source").where("depth > 0 and source is not null")
     links = back.groupBy("conv_id", "turn").agg(F.sum("times").alias("n_linked"), F.max(F.struct((-F.col("depth")).alias("near"), F.col("source").alias("source"))).alias("best"))
     turns = placed.select("conv_id", "turn").distinct()
@@ -85,7 +88,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     turns = latest_before(turns.withColumn("head", head), ["conv_id"], "turn", "head", "earlier")
     turns = turns.select("conv_id", "turn", "n_linked", "reply_to", F.coalesce("head", "earlier").alias("branch"))
     out = rows.join(turns, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", F.col("quote_depth").cast("int").alias("quote_depth"), F.col("n_quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", "branch", unquoted(F.col("found")).alias("text"))
+    return out.select("conv_id", "turn", "role", "quote_depth", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", "branch", "text")
 
 
 def conversations(linked: DataFrame) -> DataFrame:
