@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import language_id, quality, toxicity
 from .decontaminate import leaks
+from .jaccard_join import ORACLE_SQL as JACCARD_SQL
 from .jaccard_join import jaccard_components
 from .merkle import ORACLE_SQL as MERKLE_SQL
 from .merkle import fingerprints
@@ -13,7 +14,7 @@ from .ngram_bloom_lm import score_held_out
 from .packing import pack
 from .pii import find_pii
 from .quotation_links import ORACLE_SQL as QUOTATION_SQL
-from .quotation_links import link_quotations, reply_ordered
+from .quotation_links import ORDERED_SQL, link_quotations, reply_ordered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_links": QUOTATION_SQL, "op7_merkle_fingerprints": MERKLE_SQL}
+    return {"op1_quotation_links": QUOTATION_SQL, "op1_reply_ordered": ORDERED_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op7_merkle_fingerprints": MERKLE_SQL}

@@ -131,8 +131,8 @@ def reply_ordered(linked: DataFrame) -> DataFrame:
 
 _ORDERED = ["conv_id", "position", "branch", "turn", "role", "reply_to", "text"]
 _BODY = r"trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)+)', '')), '[ \t\r\x0b\x0c]+', ' ', 'g'), ' ')"
-ORACLE_SQL = rf"""
-WITH m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+_LINKED = rf"""
+m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT r, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m),
 l AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS depth, {_BODY} AS body FROM p),
 b AS (SELECT *, coalesce(lead(depth) OVER (PARTITION BY r ORDER BY i), 0) AS below FROM l),
@@ -146,6 +146,14 @@ g AS (SELECT conv_id, turn, sum(times)::BIGINT AS n_linked, arg_max(source, [-de
 t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
 y AS (SELECT t.conv_id, t.turn, coalesce(n_linked, 0) AS n_linked, coalesce(source, before) AS reply_to, before FROM t LEFT JOIN g USING (conv_id, turn)),
 h AS (SELECT *, max(CASE WHEN before IS NULL OR reply_to <> before THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS branch FROM y)
-SELECT m.conv_id, m.turn, m.role, s.quote_depth, s.n_quoted, coalesce(h.n_linked, 0) AS n_linked, h.reply_to, h.branch, s.text
-FROM m JOIN s USING (r) LEFT JOIN h ON m.conv_id = h.conv_id AND m.turn = h.turn
+"""
+ORACLE_SQL = f"""WITH {_LINKED}SELECT m.conv_id, m.turn, m.role, s.quote_depth, s.n_quoted, coalesce(h.n_linked, 0) AS n_linked, h.reply_to, h.branch, s.text
+FROM m JOIN s USING (r) LEFT JOIN h ON m.conv_id = h.conv_id AND m.turn = h.turn"""
+#: The root of each chain of first replies is found by walking from parent to child.
+ORDERED_SQL = f"""WITH RECURSIVE {_LINKED.rstrip()},
+f AS (SELECT conv_id, reply_to, min(turn) AS turn FROM y WHERE reply_to IS NOT NULL GROUP BY ALL),
+o AS (SELECT y.conv_id, y.turn, y.turn AS branch FROM y LEFT JOIN f ON y.conv_id = f.conv_id AND y.turn = f.turn AND y.reply_to = f.reply_to WHERE f.turn IS NULL
+      UNION ALL SELECT f.conv_id, f.turn, o.branch FROM o JOIN f ON f.conv_id = o.conv_id AND f.reply_to = o.turn),
+a AS (SELECT m.conv_id, m.turn, m.role, o.branch, y.reply_to, s.text FROM m JOIN s USING (r) LEFT JOIN o ON m.conv_id = o.conv_id AND m.turn = o.turn LEFT JOIN y ON m.conv_id = y.conv_id AND m.turn = y.turn)
+SELECT conv_id, CASE WHEN branch IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, branch IS NULL ORDER BY branch, turn, role NULLS FIRST, text) - 1 END AS position, branch, turn, role, reply_to, text FROM a
 """
