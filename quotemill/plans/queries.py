@@ -359,13 +359,22 @@ def requests_in_window(spark, sf_dir):
     return T.requests_in_window(table(spark, sf_dir, "events"), 3600)
 
 
-@query()
+_ORDERED_EVENTS = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {_ORDERED_EVENTS}, r AS (SELECT user_id, event_id, ts, i, TRUE AS admitted, [ts] AS recent FROM e WHERE i = 1
+UNION ALL SELECT user_id, event_id, ts, i, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END
+FROM (SELECT e.user_id, e.event_id, e.ts, e.i, list_filter(r.recent, lambda t: e.ts - t < INTERVAL 3600 SECOND) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, ts, admitted FROM r""")
 def admitted_requests(spark, sf_dir):
     """T-1: at most two admitted an hour."""
     return T.admit(table(spark, sf_dir, "events"), 2, 3600)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ORDERED_EVENTS}, r AS (SELECT user_id, event_id, i, FALSE AS skipped, CASE WHEN value > 90 THEN ts + INTERVAL 6 HOUR END AS until FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.event_id, e.i, coalesce(e.ts < r.until, FALSE), CASE WHEN e.value > 90 AND NOT coalesce(e.ts < r.until, FALSE) THEN e.ts + INTERVAL 6 HOUR ELSE r.until END
+FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id, user_id::VARCHAR AS key, skipped FROM r""")
 def cooled_down_calls(spark, sf_dir):
     """T-6: a value over 90 fails and pauses the user for six hours."""
     return T.cooldown(table(spark, sf_dir, "events"), "user_id", F.coalesce(F.col("value") > 90, F.lit(False)), 6 * 3600)
