@@ -575,14 +575,14 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH RECURSIVE d AS (
+WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
              ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM d),
-n AS (SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s),
-x AS (SELECT doc_id, unnest(list_transform(shingles, lambda t: hash(t))) AS shingle FROM s),
+n AS MATERIALIZED (SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s),
+x AS MATERIALIZED (SELECT doc_id, unnest(list_transform(shingles, lambda t: hash(t))) AS shingle FROM s),
 p AS (SELECT a.doc_id AS one, b.doc_id AS other, count(*) AS common FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT one, other FROM p JOIN n a ON a.doc_id = one JOIN n b ON b.doc_id = other WHERE 100 * common >= 75 * (a.n_shingles + b.n_shingles - common)),
+l AS MATERIALIZED (SELECT one, other FROM p JOIN n a ON a.doc_id = one JOIN n b ON b.doc_id = other WHERE 100 * common >= 75 * (a.n_shingles + b.n_shingles - common)),
 r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.other FROM r JOIN l ON l.one = r.reached)
 SELECT n.doc_id, n.n_shingles, min(r.reached) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY ALL
 """
