@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import routing as Z
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import evaluate as E
@@ -201,15 +202,11 @@ def input_gates(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(gate.alias("gate")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query(r"""WITH k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9''\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM conversations)
-SELECT CASE WHEN key = '' THEN 'empty' WHEN len(string_split(key, ' ')) < 4 THEN 'short' WHEN regexp_matches(key, '\b(hello|hi|thanks|thank you)\b') THEN 'greeting'
-WHEN len(string_split(key, ' ')) >= 40 THEN 'verify' ELSE 'question' END AS route, role, count(*) AS n FROM k GROUP BY ALL""")
+@query()
 def message_routes(spark, sf_dir):
-    """P-18: ordered rules over messages, first match wins."""
-    c = table(spark, sf_dir, "conversations").withColumn("key", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z0-9'\s]", " "), r"\s+", " ")))
-    n = F.size(F.split("key", " "))
-    route = F.when(F.col("key") == "", "empty").when(n < 4, "short").when(F.col("key").rlike(r"\b(hello|hi|thanks|thank you)\b"), "greeting").when(n >= 40, "verify").otherwise("question")
-    return c.groupBy(route.alias("route"), "role").agg(F.count(F.lit(1)).alias("n"))
+    """P-18, X-10: messages after the first of a conversation have an open report."""
+    c = table(spark, sf_dir, "conversations").withColumn("payload", Z.payload_of(F.col("text")))
+    return c.groupBy(Z.route(F.col("text"), F.col("payload"), F.col("turn") > 0).alias("route"), "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TERMS = "(VALUES " + ", ".join(f"('{t}', '{a}')" for t, a in GLOSSARY) + ") g(term, avoid)"
