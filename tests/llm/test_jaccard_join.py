@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from quotemill.llm import jaccard_join as jj
@@ -69,3 +70,15 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (5, 5)]
     got = {r.node: r.component for r in jj.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {n: c for n, c in got.items() if n <= 40} == {n: 0 for n in range(1, 41)} and got[102] == 100
+
+
+def test_components_against_sql(spark):
+    seen = {}
+    for i, t in made():
+        if i is not None:
+            seen.setdefault(i, t)
+    df = spark.createDataFrame(list(seen.items()), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.jaccard_components(df).collect())
+    assert sorted(con.sql(jj.ORACLE_SQL).fetchall()) == got

@@ -130,3 +130,12 @@ def test_reply_order_is_a_query(spark, tmp_path):
     found = queries.queries()["op1_reply_ordered"](spark, str(tmp_path)).collect()
     assert [r.branch for r in sorted(found, key=lambda r: r.turn)] == [0, 0, 2, 0, 2, 0]
     assert ql.reply_ordered(ql.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+@pytest.mark.parametrize("rows", [TALK, made()], ids=["talk", "made"])
+def test_reply_order_against_sql(spark, rows):
+    df = spark.createDataFrame([r for r in rows if r[0] is not None], "conv_id long, turn long, role string, text string")
+    got = sorted((tuple(r) for r in ql.reply_ordered(ql.link_quotations(df)).collect()), key=repr)
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    assert sorted(con.sql(ql.ORDERED_SQL).fetchall(), key=repr) == got
