@@ -68,3 +68,12 @@ def test_lists_of_candidates(spark):
     assert [(c["rank"], len(c["text_en"]), c.get("text_ar")) for c in sent["candidates"]] == [(1, 700, None), (2, 0, "ع")]
     focus = values(spark, [("x" * 300, "x", "text", ""), ("short", "x", "text", None), ("short", "x", "link", "page")], "t string, f string, v string, e string", R.focus_context(*map(F.col, "tfve")))
     assert [tuple(r[0]) for r in focus] == [("x", "x" * 300), ("short", ""), ("x", "page")]
+
+
+def test_cards_and_explanations(spark):
+    body = "<b>الراوي :</b> فلان بن فلان | <b>المحدث :</b> عالم | <b>المصدر :</b> كتاب <b>الصفحة أو الرقم :</b> 1/25 | <b>خلاصة حكم المحدث :</b> [إسناده صحيح] | <b>التخريج :</b> أخرجه غيره"
+    page = f'<h1>x</h1><div class="border-bottom py-4 a"><h5>3 - نص الحديث</h5>{body}<a xplain="77">y</a></div><div class="border-bottom py-4"><h5>بلا حكم</h5></div>'
+    got = values(spark, [(page,), (None,), ("",)], "h string", G.cards(F.col("h")))
+    assert [tuple(c) for c in got[0][0]] == [("نص الحديث", "[إسناده صحيح]", "فلان بن فلان", "عالم", "كتاب", "1/25", "أخرجه غيره y", "77")] and got[1:] == [([],), ([],)]
+    one = values(spark, [(f"<p>نص الحديث</p>{body} <b>شرح الحديث :</b> كلام طويل",), (None,)], "h string", G.explanation(F.col("h")))
+    assert tuple(one[0][0]) == ("نص الحديث", "إسناده صحيح", "فلان بن فلان", "عالم", "كتاب", "1/25", "أخرجه غيره", "كلام طويل") and set(one[1][0]) == {""}
