@@ -77,3 +77,11 @@ def test_cards_and_explanations(spark):
     assert [tuple(c) for c in got[0][0]] == [("نص الحديث", "[إسناده صحيح]", "فلان بن فلان", "عالم", "كتاب", "1/25", "أخرجه غيره y", "77")] and got[1:] == [([],), ([],)]
     one = values(spark, [(f"<p>نص الحديث</p>{body} <b>شرح الحديث :</b> كلام طويل",), (None,)], "h string", G.explanation(F.col("h")))
     assert tuple(one[0][0]) == ("نص الحديث", "إسناده صحيح", "فلان بن فلان", "عالم", "كتاب", "1/25", "أخرجه غيره", "كلام طويل") and set(one[1][0]) == {""}
+
+
+def test_sections(spark):
+    long = "كلام في المعنى " * 20
+    page = f"<title>موقع - سورة كذا - الآيات (3 - 7)</title><nav>المعنى الإجمالي</nav><p>المعنى الإجمالي: {long}[12] يُنظر: ((تفسير فلان))(1/2). بقية</p><footer>تابعنا هنا</footer>"
+    got = [tuple(r[0]) for r in values(spark, [(page,), ("<title>الآية (9)</title>تابعنا",), (None,)], "h string", G.section(F.col("h"), "موقع -"))]
+    assert got[0] == ("سورة كذا - الآيات (3 - 7)", 3, 7, f"المعنى الإجمالي: {long}بقية".strip())
+    assert got[1][:3] == ("الآية (9)", 9, 9) and got[2] == ("", None, None, "")
