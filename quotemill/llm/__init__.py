@@ -1,4 +1,4 @@
-"""Corpus preparation for language-model training: ten DataFrame operators.
+"""Corpus preparation for language-model training: DataFrame operators.
 
 Nothing else in the library imports this subpackage.
 """

@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import find_pii
 from .quotation_links import ORACLE_SQL as QUOTATION_SQL
 from .quotation_links import ORDERED_SQL, link_quotations, reply_ordered
+from .simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,11 @@ def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: every document with its SimHash fingerprint and the smallest doc_id that it reaches by links at three bits. Nulls, repeats and empty tables as the operator states."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
