@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Rows of one Arrow batch: long texts stay small beside an executor's memory.
 ARROW_ROWS = 500
@@ -76,6 +78,33 @@ def columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*((F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
 
 
+def numbered(rows: DataFrame, tree: str, *order: str) -> DataFrame:
+    """rows with `place`, from 0, in the order of the columns `order` within its tree (a string column without nulls), and `total`,
+    the tree's number of rows; nulls first.
+
+    Rows are dealt out by ranges of (tree, order) and counted within their task; what the tasks before hold is added, so no
+    tree, however large, comes together in one task. Among equal rows the order is any.
+    """
+    rows = materialize(rows)  # ranges are drawn from a pass of their own
+    schema = T.StructType([*rows.schema.fields, T.StructField("_slice", T.IntegerType()), T.StructField("_nth", T.LongType())])
+
+    def count(batches):
+        here, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            nth = np.empty(batch.num_rows, np.int64)
+            for i, key in enumerate(batch.column(tree).to_pylist()):
+                last, n = key, n + 1 if key == last else 0
+                nth[i] = n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(nth), here, np.int32)), pa.array(nth)], names=schema.names)
+
+    dealt = materialize(rows.repartitionByRange(tree, *order).sortWithinPartitions(tree, *order).mapInArrow(count, schema))
+    held = dealt.groupBy(tree, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    slices = Window.partitionBy(tree).orderBy("_slice")
+    before = F.coalesce(F.sum("_n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select(tree, "_slice", before.alias("_before"), F.sum("_n").over(Window.partitionBy(tree)).alias("total"))
+    return dealt.join(starts, [tree, "_slice"]).select(*rows.columns, (F.col("_before") + F.col("_nth")).alias("place"), "total")
+
+
 def per_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with outputs given as dicts of columns; `work` sees all the batches of a partition."""
     out = to_arrow(schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality, toxicity
+from . import language_id, manifest, quality, toxicity
 from .decontaminate import leaks
 from .jaccard_join import ORACLE_SQL as JACCARD_SQL
 from .jaccard_join import jaccard_components
@@ -82,9 +82,14 @@ def op11_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: every document as a leaf of the manifest, with its proof and the root that its tampered leaf leads to. Nulls, repeats and empty tables as the operator states."""
+    return manifest.proved(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_links": QUOTATION_SQL, "op1_reply_ordered": ORDERED_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op7_merkle_fingerprints": MERKLE_SQL}
+    return {"op1_quotation_links": QUOTATION_SQL, "op1_reply_ordered": ORDERED_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op7_merkle_fingerprints": MERKLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL}
