@@ -72,6 +72,12 @@ def bucket_of(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)
 
 
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns, cast; a column that df lacks is null. Whatever else df holds plays no part."""
     have = {c.lower(): c for c in df.columns}

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import columns, materialize, numbered, per_batch
+from ._shared import columns, crc_sql, materialize, numbered, per_batch
 
 #: Levels that a stored subtree climbs: 2**HEIGHT leaves.
 HEIGHT = 10
@@ -241,11 +241,6 @@ def _leaf_sql(n_chars: str) -> str:
     return f"sha256({' || '.join(said(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
 
 
-#: crc32 of the decimal doc_id, bit by bit.
-_CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
-  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))))"""
-
-
 def _grown_sql(name: str, leaves: str) -> str:
     return f"""{name} AS (
   SELECT tree, 0 AS up, place, n, h FROM {leaves}
@@ -255,7 +250,7 @@ def _grown_sql(name: str, leaves: str) -> str:
 ORACLE_SQL = f"""
 WITH RECURSIVE raw AS MATERIALIZED (
   SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS h,
-         CASE WHEN {_CRC_SQL} % 7 = 0 AND doc_id IS NOT NULL AND n_chars IS NOT NULL THEN {_leaf_sql("(n_chars::HUGEINT + 1)")} ELSE {_leaf_sql("n_chars")} END AS start
+         CASE WHEN {crc_sql('doc_id::VARCHAR')} % 7 = 0 AND doc_id IS NOT NULL AND n_chars IS NOT NULL THEN {_leaf_sql("(n_chars::HUGEINT + 1)")} ELSE {_leaf_sql("n_chars")} END AS start
   FROM documents),
 leaves AS MATERIALIZED (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM raw),
 {_grown_sql("low", "leaves")},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, manifest, quality, toxicity
+from . import language_id, manifest, quality, structure_repair, toxicity
 from .decontaminate import leaks
 from .jaccard_join import ORACLE_SQL as JACCARD_SQL
 from .jaccard_join import jaccard_components
@@ -82,6 +82,11 @@ def op11_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: every conversation's faults after the damage, the cheapest edits that repair its roles, and the repaired text's hash. Nulls, repeats and empty tables as the operator states."""
+    return structure_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13: every document as a leaf of the manifest, with its proof and the root that its tampered leaf leads to. Nulls, repeats and empty tables as the operator states."""
     return manifest.proved(_table(spark, sf_dir, "documents"))
@@ -92,4 +97,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_links": QUOTATION_SQL, "op1_reply_ordered": ORDERED_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op7_merkle_fingerprints": MERKLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL}
+    return {"op1_quotation_links": QUOTATION_SQL, "op1_reply_ordered": ORDERED_SQL, "op6_ngram_jaccard_join": JACCARD_SQL, "op7_merkle_fingerprints": MERKLE_SQL, "op12_structure_repair": structure_repair.ORACLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL}
