@@ -85,14 +85,23 @@ def equivalents(spark, sf_dir):
     return d.join(g, "key").select("doc_id", "n", "first_id")
 
 
-@query(f"""WITH {ITEMS}, p AS (SELECT record_id, list_distinct(list_filter(list_transform(range(1, greatest(length(t), 3) - 1), lambda i: substr(t, i::INT, 3)), lambda g: length(g) = 3)) AS grams, key
- FROM (SELECT record_id, key, '  ' || array_to_string(string_split(key, ' ')[1:12], ' ') || ' ' AS t FROM b)),
-r AS (SELECT record_id, list_distinct(list_filter(list_transform(range(1, greatest(length(t), 3) - 1), lambda i: substr(t, i::INT, 3)), lambda g: length(g) = 3)) AS has FROM (SELECT record_id, '  ' || key || ' ' AS t FROM b WHERE key <> '')),
-s AS (SELECT p.record_id AS input_id, r.record_id, len(list_intersect(grams, has))::DOUBLE / len(grams) AS share FROM p JOIN r ON true WHERE p.key <> ''),
-k AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY share DESC, record_id) AS rank FROM s WHERE share >= 0.35)
-SELECT input_id, record_id, share, rank::INT AS rank FROM k WHERE rank <= 25""")
+def _grams_sql(words: str) -> str:
+    """The trigrams of words, each with two spaces before and one behind it, in their order."""
+    return f"flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3))))"
+
+
+@query(f"""WITH {ITEMS}, p AS (SELECT record_id AS input_id, list_distinct({_grams_sql(f"list_slice({WORDS}, 1, 12)")}) AS wanted FROM b WHERE key <> ''),
+r AS (SELECT record_id, {_grams_sql(WORDS)} AS row FROM b WHERE key <> ''),
+g AS MATERIALIZED (SELECT record_id, unnest(range(1, len(row) + 1))::INT AS pos, unnest(row) AS gram FROM r),
+o AS MATERIALIZED (SELECT *, coalesce(lag(pos) OVER (PARTITION BY record_id, gram ORDER BY pos), 0) AS earlier FROM g),
+h AS MATERIALIZED (SELECT input_id, record_id, pos, earlier, list_contains(wanted, gram)::INT AS hit, len(wanted) AS n FROM p JOIN o ON true),
+e AS (SELECT a.input_id, a.record_id, a.pos AS start, a.n, sum(b.hit) OVER w AS shared, sum(1 - b.hit) OVER w AS other
+      FROM h a JOIN h b ON a.input_id = b.input_id AND a.record_id = b.record_id AND b.pos >= a.pos AND b.earlier < a.pos WHERE a.hit = 1 WINDOW w AS (PARTITION BY a.input_id, a.record_id, a.pos ORDER BY b.pos)),
+s AS (SELECT input_id, record_id, max(shared::DOUBLE / (n + other)::DOUBLE) AS similarity FROM e GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY similarity DESC, record_id) AS rank FROM s WHERE similarity >= 0.35)
+SELECT input_id, record_id, similarity, rank::INT AS rank FROM k WHERE rank <= 25""")
 def gram_candidates(spark, sf_dir):
-    """J-3 among the source passages."""
+    """J-3, C-4 among the source passages."""
     b = keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id")
     return M.gram_candidates(b.withColumnRenamed("record_id", "input_id"), b)
 
