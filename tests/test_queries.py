@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quotemill.plans import further, reports  # noqa: F401  (they register their queries)
+from quotemill.plans import further, reports, searches  # noqa: F401  (they register their queries)
 from quotemill.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
