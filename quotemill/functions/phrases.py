@@ -87,5 +87,9 @@ def whole_words(shown: str, start: int, end: int, led_by: str = "") -> bool:
     before = shown[start - 1 : start] if start else ""
     if before and before in led_by:
         before = shown[start - 2 : start - 1] if start > 1 else ""
+    return not (before.isalnum() or before == "_") and word_ends(shown, end)
+
+
+def word_ends(shown: str, end: int) -> bool:
     behind = shown[end : end + 1]
-    return not (before.isalnum() or before == "_") and not (behind.isalnum() or behind == "_")
+    return not (behind.isalnum() or behind == "_")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import pages as G
 from ..functions import similarity as S
+from ..operators import matching as M
 from ..operators import report as R
-from .queries import query, table
+from .queries import KEY, keyed, query, table
 
 
 def _quoted(v: str) -> str:
@@ -159,25 +160,41 @@ def report_facts(spark, sf_dir):
     return R.facts(rows.withColumn("matched_text", F.md5(F.coalesce("text", F.lit("")))).withColumn("grade", F.coalesce("grade", F.lit(""))))
 
 
-#: Documents as candidates of the item that their number names, five of each.
-_CANDS = """c0 AS (SELECT doc_id % 40 AS input_id, doc_id AS record_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS rank, (n_chars * 7 + doc_id) % 101 AS confidence, lang, text FROM documents),
-c AS (SELECT * FROM c0 WHERE rank <= 5)"""
+#: Source passages and all the documents that hold them, the shortest first; confidence is the passage's share of the document.
+_CANDS = f"""k AS MATERIALIZED (SELECT doc_id, lang, text, {KEY} AS key FROM documents), b AS MATERIALIZED (SELECT item_id, {KEY} AS key FROM benchmark),
+c AS MATERIALIZED (SELECT item_id AS input_id, doc_id AS record_id, row_number() OVER (PARTITION BY item_id ORDER BY length(k.key), doc_id) AS rank, 100 * length(b.key) // length(k.key) AS confidence, lang, text
+ FROM k JOIN b ON length(b.key) >= 15 AND contains(k.key, b.key))"""
+
+
+def _held(spark, sf_dir, items):
+    """Documents with what they hold of items(record_id, key): input_id, record_id, n_key, doc_key, lang, text."""
+    d = table(spark, sf_dir, "documents")
+    keys = keyed(d, "doc_id", "input_id")
+    pairs = M.contained(keys, items).join(items.select("record_id", F.length("key").alias("n_key")), "record_id")
+    docs = keys.select("input_id", F.length("key").alias("n_doc")).join(d.select(F.col("doc_id").alias("input_id"), "lang", "text"), "input_id")
+    return pairs.join(docs, "input_id").select(F.col("record_id").alias("input_id"), F.col("input_id").alias("record_id"), "n_key", "n_doc", "lang", "text")
 
 
 def _cands(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    d = table(spark, sf_dir, "documents").withColumn("input_id", F.col("doc_id") % 40)
-    rank = F.row_number().over(Window.partitionBy("input_id").orderBy("doc_id"))
-    return d.select("input_id", F.col("doc_id").alias("record_id"), rank.cast("long").alias("rank"), ((F.col("n_chars") * 7 + F.col("doc_id")) % 101).alias("confidence"), "lang", "text").where("rank <= 5")
+    held = _held(spark, sf_dir, keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id"))
+    rank = F.row_number().over(Window.partitionBy("input_id").orderBy("n_doc", "record_id"))
+    return held.select("input_id", "record_id", rank.cast("long").alias("rank"), F.floor(100 * F.col("n_key") / F.col("n_doc")).cast("long").alias("confidence"), "lang", "text")
+
+
+#: How an item begins, for other documents that go the same way.
+_BEGINS = "array_to_string(string_split(key, ' ')[1:5], ' ')"
 
 
-@query(f"""WITH {_CANDS}, o AS (SELECT doc_id % 40 AS input_id, doc_id AS record_id, n_chars AS rank FROM documents WHERE n_chars > 100), n AS (SELECT input_id, record_id, row_number() OVER (PARTITION BY input_id ORDER BY rank, record_id) AS i FROM o WHERE record_id NOT IN (SELECT record_id FROM c)),
-h AS (SELECT input_id, max(rank) AS had, count(*) AS n FROM c GROUP BY 1) SELECT input_id, record_id, rank FROM c UNION ALL SELECT input_id, record_id, i + coalesce(had, 0) FROM n LEFT JOIN h USING (input_id) WHERE i + coalesce(h.n, 0) <= 8""")
+@query(f"""WITH {_CANDS}, h AS (SELECT item_id, {_BEGINS} AS head FROM b), o AS (SELECT item_id AS input_id, doc_id AS record_id, length(k.key) AS rank FROM k JOIN h ON length(head) >= 15 AND contains(k.key, head)),
+n AS (SELECT input_id, record_id, row_number() OVER (PARTITION BY input_id ORDER BY rank, record_id) AS i FROM o ANTI JOIN c USING (input_id, record_id)),
+s AS (SELECT input_id, max(rank) AS had, count(*) AS n FROM c GROUP BY 1) SELECT input_id, record_id, rank FROM c UNION ALL SELECT input_id, record_id, i + coalesce(had, 0) FROM n LEFT JOIN s USING (input_id) WHERE i + coalesce(s.n, 0) <= 8""")
 def listed_matches(spark, sf_dir):
-    """D-10: eight of each input, a list of the report."""
-    others = table(spark, sf_dir, "documents").where("n_chars > 100").select((F.col("doc_id") % 40).alias("input_id"), F.col("doc_id").alias("record_id"), F.col("n_chars").alias("rank"))
-    return R.append_other_matches(_cands(spark, sf_dir), others)
+    """D-10: the documents that hold a passage, and up to eight with others that hold its first five words."""
+    items = keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id")
+    others = _held(spark, sf_dir, items.select("record_id", F.array_join(F.slice(F.split("key", " "), 1, 5), " ").alias("key")))
+    return R.append_other_matches(_cands(spark, sf_dir), others.select("input_id", "record_id", F.col("n_doc").alias("rank")))
 
 
 @query(f"WITH {_CANDS} SELECT input_id, record_id, rank, rank = 1 AND confidence >= 62 AS accepted FROM c")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.functions import similarity as S
+from quotemill.functions import spans as P
 from quotemill.functions import text as X
 from quotemill.operators import evaluate as E
 from quotemill.operators import maintain as K
@@ -53,7 +54,7 @@ def test_rules(spark):
     assert column(spark, lambda c: X.asks_for_text(X.arabic_key(c), X.latin_key(c)), "Write me a hadith about trees", "اكتب لي حديثا", "the best of deeds") == [True, True, False]
     assert column(spark, lambda c: X.asks_for_ruling(X.arabic_key(c), X.latin_key(c)), "Is it halal to eat this?", "هل يجوز لي", "actions are by intentions") == [True, True, False]
     assert column(spark, lambda c: X.attributed(c, X.latin_key(c)), "The Prophet said: seek", "قال رسول الله كذا", "a plain line") == [True, True, False]
-    assert column(spark, X.strip_attribution, 'The Prophet (pbuh) said: "Seek knowledge"') == ["Seek knowledge"]
+    assert column(spark, P.strip_attribution_col, 'The Prophet (pbuh) said: "Seek knowledge"', None) == ["Seek knowledge", None]
     assert column(spark, lambda c: X.cross_reference(c, ["بمثله", "نحوه"]), "بمثله", "نحوه بمثله", "بمثله قال", "") == [True, True, False, False]
     assert column(spark, lambda c: X.unsupported_host(c, ["x.com"]), "https://x.com/a", "https://m.x.com/a", "https://ax.com/", "ftp:") == [True, True, False, True]
     assert column(spark, X.strip_tags, "<p>a &amp; b</p><script>x</script> c") == ["a & b c"]
