@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import script_language
+from ..functions.spans import quoted_part_col
+from ..functions.text import latin_key, script_language
+from ..functions.wording import compared_col
+from .matching import glossary_notes
 
 #: Wordings by state and language; {where}, {grade} and {by} stand for what is recorded.
 BRIEFS = {
@@ -144,3 +147,20 @@ def extended_allowed(state: Column, matched: Column) -> Column:
 def meaning_issues(text: Column, approved: Column, rules: list[tuple[str, str, str]]) -> Column:
     """J-9: names of the rules (name, pattern on the text, pattern on the approved one) that both texts match."""
     return F.filter(F.array(*[F.when(text.rlike(f"(?i){a}") & approved.rlike(f"(?i){b}"), name) for name, a, b in rules]), lambda x: x.isNotNull())
+
+
+def translation_cards(pairs: DataFrame, rules: list[tuple[str, str, str]], glossary: list[tuple[str, list[str]]]) -> DataFrame:
+    """R-6: pairs(user_text, text_en, ...) with what a card of the translation shows: approved_text (what text_en quotes), user_runs and
+    approved_runs (C-18), issues (names of meaning rules, then terms whose phrases to avoid stand in the user's text and in no
+    rule's name), needs_fix (an issue, or any word differs). Rows without an approved text or without a user text have no card and go.
+    """
+    rows = pairs.withColumn("approved_text", quoted_part_col(F.col("text_en"))).where("approved_text <> '' and user_text is not null")
+    runs = compared_col(F.col("user_text"), F.col("approved_text"))
+    rows = rows.withColumn("_runs", runs).withColumn("_named", meaning_issues(F.col("user_text"), F.col("approved_text"), rules))
+    told = F.lower(F.array_join("_named", " "))
+    high = F.filter(glossary_notes(latin_key(F.col("user_text")), glossary), lambda n: n["severity"] == "high")
+    new = F.filter(high, lambda n: ~F.exists(n["literal"], lambda phrase: F.contains(told, phrase)))
+    issues = F.concat("_named", F.transform(new, lambda n: n["term"]))
+    differs = lambda side: F.exists(F.col(f"_runs.{side}"), lambda r: r["k"] != "eq")
+    rows = rows.withColumn("user_runs", F.col("_runs.text_runs")).withColumn("approved_runs", F.col("_runs.source_runs")).withColumn("issues", issues)
+    return rows.withColumn("needs_fix", (F.size("issues") > 0) | differs("text_runs") | differs("source_runs")).drop("_runs", "_named")

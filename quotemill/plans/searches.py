@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import wording as W
+from ..operators import lookup as L
+from ..operators import matching as M
+from ..operators import report as R
 from ..operators import similar as Y
-from .queries import KEY, query, table
+from .queries import DOCS, GLOSSARY, ITEMS, KEY, keyed, query, table
 
 # ---- J-14: sayings that the seed has already -----------------------------------------------------------------------
 
@@ -40,3 +44,78 @@ def seed_matches(spark, sf_dir):
 def unseen_sayings(spark, sf_dir):
     """J-14: the sentences of documents that no source passage has already, each with the first document that holds it."""
     return Y.unseen(_sayings(table(spark, sf_dir, "documents"), "doc_id"), _sayings(table(spark, sf_dir, "benchmark"), "item_id"))
+
+
+# ---- J-18: notes that answer ---------------------------------------------------------------------------------------
+
+def _vectors_sql(name: str, of: str) -> str:
+    return f"""{name}_c AS MATERIALIZED (SELECT id, part, string_split(rpad(t, greatest(length(t), 3)::INT, ' '), '') AS c FROM {of}),
+{name}_g AS MATERIALIZED (SELECT id, part, g, count(*) AS n FROM (SELECT id, part, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM {name}_c) GROUP BY ALL),
+{name}_p AS MATERIALIZED (SELECT g, ('0x' || substr(md5(g), 1, 8))::BIGINT % 384 AS place FROM (SELECT DISTINCT g FROM {name}_g)),
+{name} AS MATERIALIZED (SELECT id, part, place, n / sqrt(sum(n * n) OVER (PARTITION BY id, part)) AS w FROM (SELECT id, part, place, sum(n) AS n FROM {name}_g JOIN {name}_p USING (g) GROUP BY ALL))"""
+
+
+@query(f"""WITH {DOCS}, q AS (SELECT input_id AS id, 0 AS part, key AS t FROM d WHERE key <> ''),
+n AS (SELECT item_id AS id, {KEY} AS key, string_split(text, chr(10)) AS lines FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT id, unnest([0, 1, 2]) AS part, unnest([key, lines[1], lines[-1]]) AS text FROM n),
+k AS (SELECT id, part, {KEY} AS t FROM s), {_vectors_sql("a", "q")}, {_vectors_sql("b", "k")},
+c AS (SELECT question_id, note_id, max(cosine) AS cosine FROM (SELECT a.id AS question_id, b.id AS note_id, b.part, sum(a.w * b.w) AS cosine FROM a JOIN b USING (place) GROUP BY ALL) GROUP BY ALL),
+w AS (SELECT id AS note_id, list_filter(list_distinct(string_split(key, ' ')), lambda w: length(w) >= 12) AS words FROM n),
+r AS (SELECT question_id, c.note_id, round(cosine + CASE WHEN len(list_filter(words, lambda w: contains(q.t, w))) > 0 THEN 0.30 ELSE 0 END, 6) AS score FROM c JOIN w USING (note_id) JOIN q ON q.id = question_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, note_id)::INT AS rank FROM r)
+SELECT question_id, note_id, score, rank FROM o WHERE rank <= 2 AND score >= 0.40""")
+def answering_notes(spark, sf_dir):
+    """J-18: documents as questions, source passages as notes: a passage, its first and its last line, long words as keywords."""
+    from ..operators import retrieval
+
+    d = keyed(table(spark, sf_dir, "documents"), "doc_id", "question_id")
+    n = table(spark, sf_dir, "benchmark").where("text is not null").withColumn("lines", F.split("text", "\n"))
+    key = lambda c: X.latin_key(c, False)
+    words = F.filter(F.array_distinct(F.split(key(F.col("text")), " ")), lambda w: F.length(w) >= 12)
+    notes = n.select(F.col("item_id").alias("note_id"), F.array(key(F.col("text")), key(F.get("lines", 0)), key(F.element_at("lines", -1))).alias("texts"), words.alias("keywords"))
+    return retrieval.answering(d, notes)
+
+
+# ---- C-18, R-6, C-20: wordings side by side ------------------------------------------------------------------------
+
+
+@query(f"""WITH {DOCS}, {ITEMS} SELECT d.input_id AS doc_id, b.record_id AS item_id, trim(i.text, ' ' || chr(9) || chr(10)) AS text, 0::BIGINT AS changed
+FROM d JOIN b ON length(b.key) >= 15 AND contains(d.key, b.key) JOIN benchmark i ON i.item_id = b.record_id""")
+def compared_passages(spark, sf_dir):
+    """C-18: source passages beside the documents that hold them; the text's runs put together, and how many differ."""
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    pairs = M.contained(keyed(d, "doc_id", "input_id"), keyed(b, "item_id", "record_id"))
+    rows = pairs.join(d.select(F.col("doc_id").alias("input_id"), F.col("text").alias("source")), "input_id").join(b.select(F.col("item_id").alias("record_id"), "text"), "record_id")
+    runs = W.compared_col(F.col("text"), F.col("source"))
+    shown = F.array_join(F.transform(runs["text_runs"], lambda r: r["t"]), "")
+    changed = F.size(F.filter(runs["text_runs"], lambda r: r["k"] != "eq")).cast("long")
+    return rows.select(F.col("input_id").alias("doc_id"), F.col("record_id").alias("item_id"), shown.alias("text"), changed.alias("changed"))
+
+
+#: fixed values: meaning rules of the cards (name, pattern on the user's text, pattern on the approved one)
+CARD_RULES = (("of or the", r"\bof\b", r"\bthe\b"), ("in both", r"\bin\b", r"\bin\b"))
+_AVOIDED = "list_filter([" + ", ".join(f"CASE WHEN len(list_filter({[p for p in avoid.split(';')]}, lambda p: contains(' ' || input_key || ' ', ' ' || p || ' '))) > 0 AND len(list_filter({[p for p in avoid.split(';')]}, lambda p: contains(' ' || input_key || ' ', ' ' || p || ' ') AND contains(array_to_string(named, ' '), p))) = 0 THEN '{term}' END" for term, avoid in GLOSSARY) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {_SEEN}, n AS (SELECT input_key, seed_key, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(input_key, '{a}') AND regexp_matches(seed_key, '{b}') THEN '{n}' END" for n, a, b in CARD_RULES) + rf"""], lambda x: x IS NOT NULL) AS named FROM m WHERE ratio >= 90)
+SELECT input_key, seed_key, array_to_string(list_concat(named, {_AVOIDED}), ';') AS issues, len(named) + len({_AVOIDED}) > 0 OR input_key <> seed_key AS needs_fix FROM n""")
+def translation_cards(spark, sf_dir):
+    """R-6 (C-18, J-8, J-9): sentences of documents beside the source passages' sentences that they nearly are."""
+    pairs = Y.near_equal(_sayings(table(spark, sf_dir, "documents"), "doc_id"), _sayings(table(spark, sf_dir, "benchmark"), "item_id"))
+    cards = R.translation_cards(pairs.withColumn("user_text", F.col("input_key")).withColumn("text_en", F.col("seed_key")), list(CARD_RULES), [(t, a.split(";")) for t, a in GLOSSARY])
+    return cards.select("input_key", "seed_key", F.array_join("issues", ";").alias("issues"), "needs_fix")
+
+
+@query()
+def snapped_passages(spark, sf_dir):
+    """C-20: source passages as a transcript would have them (every fifth word run into the next one), spelled again as in the
+    passage that their first words find at a confidence of 80 or more."""
+    b = table(spark, sf_dir, "benchmark").where("text is not null")
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    heard = b.select(F.col("item_id").alias("input_id"), F.array_join(F.transform(words, lambda w, i: F.concat(w, F.when(i % 5 == 4, "").otherwise(" "))), "").alias("heard"))
+    inputs, corpus = keyed(heard.withColumnRenamed("heard", "text"), "input_id", "input_id"), keyed(b, "item_id", "record_id")
+    found = M.gram_candidates(inputs, corpus, k=1).select("input_id", "record_id", F.lit(None).cast("boolean").alias("exact"), F.col("similarity").alias("trigram"), F.lit(None).cast("double").alias("cosine"))
+    found = L.fill_semantic(found, M.hashed_vectors(corpus, "record_id", "key"), M.hashed_vectors(inputs, "input_id", "key"))
+    sure = M.scored(found, inputs, corpus).where("confidence >= 80").select("input_id", "record_id")
+    rows = heard.join(sure, "input_id").join(b.select(F.col("item_id").alias("record_id"), F.col("text").alias("source")), "record_id")
+    return rows.select("input_id", "record_id", "heard", W.snapped_col(F.col("heard"), F.col("source")).alias("spelled"))
