@@ -114,9 +114,20 @@ _TOKEN = re.compile(r"[^\W_]+")
 _POINT = r"(?:dot|punkt|punto|point)"
 _AT_IN = re.compile(r"\s*[\[({<]\s*(?:at|@|ät|arroba)\s*[\])}>]\s*", re.I)
 _DOT_IN = re.compile(rf"\s*[\[({{<]\s*(?:{_POINT}|\.)\s*[\])}}>]\s*", re.I)
-_WORDS = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9._%+-]++(\s++(?:at|arroba)\s++)[a-z0-9-]++(?:\s++{_POINT}\s++[a-z0-9-]++)+(?![\w])", re.I)
+_LABEL = r"[a-z0-9-]++"
+_DOT_ANY = rf"(?:\s++{_POINT}\s++|{_DOT_IN.pattern})"
+#: Words for the sign, words or brackets for the points: a sign as a word with plain points is prose.
+_WORDS = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9._%+-]++(\s++(?:at|arroba)\s++){_LABEL}(?:{_DOT_ANY}({_LABEL}))++(?![\w])", re.I)
+#: The sign itself or in brackets, some points as words.
+_MIXED = re.compile(rf"(?:@|{_AT_IN.pattern}){_LABEL}(?:(?:{_DOT_ANY}|\.)({_LABEL}))++(?![\w])", re.I)
+_DOTTED = re.compile(rf"(?<![\w.])[0-9]++(?:\s++{_POINT}\s++[0-9]++){{3}}(?![\w])", re.I)
 _POINT_WORD = re.compile(rf"\s+{_POINT}\s+", re.I)
 _TRIGGER = re.compile(rf"\s{_POINT}\s", re.I)
+# fixed values: endings of hosts beyond the two-letter ones
+_ENDINGS = frozenset("com org net edu gov mil int info biz name pro museum app dev online site shop store tech xyz club blog cloud test example invalid localhost".split())
+# fixed values: two-letter words that begin another clause more often than they end a host
+_SMALL_WORDS = frozenset("am an as at be by do go he if in is it me my no of on or so to up us we".split())
+_CLAUSE_ENDS = re.compile(r"\s*(?:[.,;:!?)\]}>\n]|$)")
 
 Edit = tuple[int, int, str]
 
@@ -160,17 +171,30 @@ def _letters(text: str) -> list[Edit]:
     return [] if text.isascii() else [(m.start(), m.end(), _LETTER[ord(m[0])]) for odd in _ODD for m in odd.finditer(text) if ord(m[0]) in _LETTER]
 
 
+def _ends_a_host(text: str, m: re.Match, label: str) -> bool:
+    """Is the last label one that hosts end in? A small word is one only where the clause ends with it."""
+    label = label.lower()
+    if label in _SMALL_WORDS:
+        return bool(_CLAUSE_ENDS.match(text, m.end()))
+    return label in _ENDINGS or (len(label) == 2 and label.isalpha())
+
+
 def _at_and_dot(text: str) -> list[Edit]:
-    edits = []
+    """Each rewriting stands by itself: what else the text holds plays no part."""
+    edits: list[Edit] = []
     if any(c in text for c in "[({<"):
         edits += [(*m.span(), "@") for m in _AT_IN.finditer(text)]
         edits += [(*m.span(), ".") for m in _DOT_IN.finditer(text)]
-    if _TRIGGER.search(text):
+    if edits or _TRIGGER.search(text):
+        points = lambda a, b: [(*p.span(), ".") for p in _POINT_WORD.finditer(text, a, b)]
         for m in _WORDS.finditer(text):
-            edits.append((*m.span(1), "@"))
-            edits += [(*p.span(), ".") for p in _POINT_WORD.finditer(text, m.end(1), m.end())]
-        if edits:  # brackets for one, words for the other
-            edits += [(*p.span(), ".") for p in _POINT_WORD.finditer(text)]
+            if _ends_a_host(text, m, m[2]):
+                edits += [(*m.span(1), "@"), *points(m.end(1), m.end())]
+        for m in _MIXED.finditer(text):
+            if _ends_a_host(text, m, m[1]):
+                edits += points(m.start(), m.end())
+        for m in _DOTTED.finditer(text):
+            edits += points(m.start(), m.end())
     return edits
 
 
@@ -216,7 +240,16 @@ def disguised_spans(text: str) -> list[Span]:
 def spans(text: str) -> tuple[list[Span], list[Span]]:
     """(plain, all): all adds the disguised ones that no plain one of their kind covers (one that reaches further comes beside it)."""
     plain = plain_spans(text)
-    more = [s for s in disguised_spans(text) if not any(p[0] == s[0] and p[1] <= s[1] and s[2] <= p[2] for p in plain)]
+    more = disguised_spans(text)
+    if more:  # plain spans of a kind ascend and don't overlap: one can cover a span only if it begins last before it
+        mine = {kind: [p for p in plain if p[0] == kind] for kind in KINDS}
+        begins = {kind: [p[1] for p in found] for kind, found in mine.items()}
+
+        def covered(s: Span) -> bool:
+            i = bisect.bisect_right(begins[s[0]], s[1]) - 1
+            return i >= 0 and s[2] <= mine[s[0]][i][2]
+
+        more = [s for s in more if not covered(s)]
     order = {kind: i for i, kind in enumerate(KINDS)}
     return plain, sorted({*plain, *more}, key=lambda s: (order[s[0]], s[1], s[2])) if more else plain
 

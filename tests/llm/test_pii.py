@@ -93,3 +93,29 @@ def test_spans_that_reach_beyond_plain_ones_and_odd_letters():
             plain, every = pii.spans(before + text)
             assert want in every and set(plain) <= set(every)
             assert pii.masked(before + text) == before + masked
+
+
+def test_rewritings_stand_by_themselves():
+    cases = {
+        "host 192 dot 168 dot 0 dot 1 up": [("ip", "192 dot 168 dot 0 dot 1")],
+        "10 dot 0 dot 0 dot 1 [.]": [("ip", "10 dot 0 dot 0 dot 1")],
+        "mail jane [at] example dot org": [("email", "jane [at] example dot org")],
+        "mail jane at example [dot] org": [("email", "jane at example [dot] org")],
+        "mail jane@example dot co dot uk now": [("email", "jane@example dot co dot uk")],
+        "scrivi a anna at posta dot it.": [("email", "anna at posta dot it")],
+    }
+    for text, want in cases.items():
+        assert [(k, text[a:b]) for k, a, b in pii.spans(text)[1]] == want, text
+
+
+def test_clean_sentences_have_none():
+    for text in (
+        "see you at home dot dot dot", "he stood at noon dot it was late", "look at line dot dash and go on", "we met at five dot that is all", "they are at work dot I am not",
+        "a dot and [another] dot at the end dot", "point at this point that we made", "version 1 dot 2 dot 3 is out", "see (at) the dot on the map",
+    ):
+        assert pii.spans(text)[1] == [], text
+
+
+def test_many_spans_take_linear_time():
+    text = " ".join(f"a{i}@b.com jane{i} [at] example [dot] org" for i in range(20_000))
+    assert len(pii.spans(text)[1]) == 40_000
