@@ -9,7 +9,6 @@ broadcast, so what is broadcast stays small however many items there are.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -85,8 +84,16 @@ def locate(item: str, text: str, around: int, k: int) -> tuple[int, int, int] |
     return distance, low + end - length, low + end
 
 
-@functools.cache
+_held: list = [None, None]  # a worker's last block and its automaton
+
+
 def _automaton(block: tuple):
+    if _held[0] is not block:
+        _held[:] = block, _built(block)
+    return _held[1]
+
+
+def _built(block: tuple):
     import ahocorasick
 
     found: dict[str, list] = {}
@@ -140,7 +147,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     passage of docs(doc_id, text) that is within an item's edits of the item of benchmark(item_id, text).
 
     Normalising lower-cases, and takes what isn't a letter or digit for one space. Null and empty texts and items, and items
-    without letters and digits, match nothing; items under 20 characters match whole words only. Null ids stay null,
+    without letters and digits, match nothing; items under 20 characters (of which those of 15 and more may have one edit)
+    match whole words only. Null ids stay null,
     repeated documents and items each have their rows; empty tables give an empty one; other columns play no part.
     """
     spark = tune(docs.sparkSession)

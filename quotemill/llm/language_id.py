@@ -87,7 +87,7 @@ class Model:
         """Language, score and rejected for each text."""
         named = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), ~named
         cosine = vectors(texts, self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1) if len(texts) else np.empty(0, int)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(float)
@@ -167,7 +167,7 @@ def identify_held_out(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataF
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that aren't rejected."""
+    """The rows of docs, all columns, that aren't rejected. A model that knows no language rejects only texts without a letter."""
     tune(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
