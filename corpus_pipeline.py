@@ -16,7 +16,8 @@ from quotemill.llm._shared import work_dir
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: learns from all rows with a lang; rows whose text no centroid is near to, or without a letter, go."""
+    """Operator 3: learns from all rows with a lang; rows whose text no centroid is near to, or without a letter (null and empty texts
+    too), go. Where no row has a lang, only those without a letter go. Repeated rows share their fate; empty tables stay empty."""
     return language_id.identified(docs, language_id.fit(docs))
 
 
@@ -26,17 +27,18 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents with a passage of the benchmark go."""
+    """Operator 9: documents with a passage of the benchmark go. Null and empty texts, rows without doc_id and an empty benchmark
+    lose nothing; of rows that share a doc_id all go if one has a passage."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: identifiers give way to their kind in brackets; n_chars follows the text."""
+    """Operator 10: identifiers give way to their kind in brackets; n_chars follows the text, null for a null one. Rows stay as many."""
     return pii.mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one row for each sequence, with its token ids."""
+    """Operator 5: one row for each piece, with its token ids. Null and empty texts are one end token; repeated rows are packed each."""
     return packing.pack(docs)
 
 
