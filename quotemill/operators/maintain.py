@@ -73,6 +73,41 @@ def append(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFra
     return existing.unionByName(fresh.select(*existing.columns))
 
 
+#: Partitions of a stored table of keys and windows.
+BUCKETS = 256
+
+
+def bucketed(rows: DataFrame, id_: str, buckets: int = BUCKETS) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int"))
+
+
+def store(rows: DataFrame, path: str, id_: str, buckets: int = BUCKETS) -> None:
+    """A table in folders by a hash of the id, for `restore`."""
+    bucketed(rows, id_, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def restore(changed: DataFrame, path: str, id_: str, buckets: int = BUCKETS) -> None:
+    """K-4: changed rows (all those of their ids) take the place of the stored table's rows of the same ids; only the folders of
+    their buckets are written, the others keep their files. Without changed rows nothing is written.
+
+    The new folders are written beside the table first, since they are made of the old ones.
+    """
+    spark = changed.sparkSession
+    beside = f"{path}.next-{uuid.uuid4().hex}"
+    new = bucketed(changed, id_, buckets)
+    old = spark.read.parquet(path).join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select(id_).distinct(), id_, "left_anti")
+    old.select(*new.columns).unionByName(new).repartition("bucket").write.partitionBy("bucket").parquet(beside)
+    next_ = spark.read.schema(new.schema).parquet(beside)
+    if not next_.isEmpty():
+        next_.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def reembedded(records: DataFrame, id_: str, key: Column, windows) -> DataFrame:
+    """K-4's rows: (id, key, at, window) of the records with a text, keys and windows made anew; windows: key to array."""
+    rows = records.select(id_, key.alias("key")).where("key <> ''")
+    return rows.select(id_, "key", F.posexplode(windows(F.col("key"))).alias("at", "window"))
+
+
 def write_version(table: DataFrame, folder: str) -> str:
     path = f"{folder}/{uuid.uuid4().hex}"
     table.write.parquet(path)

@@ -6,10 +6,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.window import Window
 
 ADMITTED = "user_id long, event_id long, ts timestamp, admitted boolean"
@@ -106,6 +106,98 @@ def recent(rows: DataFrame, key: str, id_: str, ts: str, k: int = 50) -> DataFra
     return rows.withColumn("_i", F.row_number().over(once)).where("_i = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("_i")
 
 
+RECENT = "report_id string, ts timestamp, live boolean"
+
+
+class LastReports(StatefulProcessor):
+    """T-2 as a stream: a value state with the last report of each id, and a timer at which it expires, by event time."""
+
+    def __init__(self, hours: float):
+        self.keep = int(hours * 3_600_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(t.timestamp() * 1000) for f in rows for t in f["ts"])
+        held = self.last.get()[0] if self.last.exists() else None
+        if held is not None and held >= newest:
+            return
+        if held is not None:
+            self.handle.deleteTimer(held + self.keep)
+        self.last.update((newest,))
+        self.handle.registerTimer(newest + self.keep)
+        yield self._row(key, newest, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            held = self.last.get()[0]
+            self.last.clear()
+            yield self._row(key, held, False)
+
+    @staticmethod
+    def _row(key, ms: int, live: bool) -> pd.DataFrame:
+        return pd.DataFrame({"report_id": [key[0]], "ts": [pd.Timestamp(ms, unit="ms")], "live": [live]})
+
+    def close(self) -> None:
+        pass
+
+
+def recent_reports_stream(reports: DataFrame, hours: float = 6, late: str = "10 minutes") -> DataFrame:
+    """T-2: changes (report_id, ts, live) of the reports that are remembered: a newer report of an id takes the older one's place, a
+    report is forgotten `hours` after its time. The latest change of each id is the snapshot that `recent_reports` caps."""
+    rows = reports.withWatermark("ts", late).select("report_id", "ts").where("report_id is not null")
+    return rows.groupBy("report_id").transformWithStateInPandas(LastReports(hours), RECENT, "Append", "EventTime")
+
+
+def recent_reports(changes: DataFrame, cap: int = 300) -> DataFrame:
+    """T-2's global cap, over a snapshot: (report_id, ts) of the `cap` newest live reports, ties by id. A list of the newest, so the cap is the feature."""
+    last = changes.groupBy("report_id").agg(F.max_by("live", F.struct("ts", ~F.col("live"))).alias("live"), F.max("ts").alias("ts"))
+    return last.where("live").select("report_id", "ts").orderBy(F.desc("ts"), "report_id").limit(cap)
+
+
+def recent_reports_at(reports: DataFrame, now, hours: float = 6, cap: int = 300) -> DataFrame:
+    """T-2 in batch: what is remembered at a time."""
+    last = reports.where(F.col("report_id").isNotNull()).groupBy("report_id").agg(F.max("ts").alias("ts"))
+    return last.where(F.col("ts") + F.make_dt_interval(hours=F.lit(hours).cast("int")) > now).orderBy(F.desc("ts"), "report_id").limit(cap)
+
+
+class Progress(StreamingQueryListener):
+    """T-5: counters of a run's stages. `counted` puts a counter on a stage; each batch run or micro-batch leaves a row for each stage."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[str, int, str, int]] = []
+        self.watched: list[tuple[str, Observation]] = []
+
+    def counted(self, df: DataFrame, stage: str) -> DataFrame:
+        """df itself, with its rows counted when they pass, on a stream or in a batch."""
+        counter = F.count(F.lit(1)).alias("rows")
+        if df.isStreaming:
+            return df.observe(stage, counter)
+        seen = Observation(stage)
+        self.watched.append((stage, seen))
+        return df.observe(seen, counter)
+
+    def done(self, run: str) -> None:
+        """After a batch's action: takes its counters."""
+        self.found += [(run, 0, stage, seen.get["rows"]) for stage, seen in self.watched]
+        self.watched = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.found += [(p.name or str(p.id), p.batchId, stage, row["rows"]) for stage, row in p.observedMetrics.items()]
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.found, "run string, batch long, stage string, rows long")
+
+
 def retain(rows: DataFrame, ts: str, now, days: int = 14) -> DataFrame:
     """T-4: rows that are no older than `days` days at `now`."""
     return rows.where(F.col(ts) >= now - F.make_interval(days=F.lit(days)))
