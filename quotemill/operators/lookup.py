@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import similarity as S
 from ..functions import text as X
+from ..functions.spans import word_score
 
 # fixed values: how much an unmarked fragment must beat the whole text by; the least confidence of a match; most spans; texts so long are cut
 SPAN_MARGIN, MATCHED, MOST_SPANS, SHORT_TEXT = 10, 50, 8, 220
@@ -176,3 +177,18 @@ def shortened(c: Column, most: int) -> Column:
 def json_lines(rows: DataFrame, path: str) -> None:
     """K-9: one JSON object a line, nulls left out."""
     rows.write.mode("overwrite").json(path)
+
+
+#: fixed values: points for a word, for the first variant, and by how much a reading in a single script has to win
+WORD_POINTS, FIRST_POINTS, SINGLE_MARGIN = 10, 1, 1.3
+
+
+def best_reading(readings: DataFrame) -> DataFrame:
+    """D-14: of the readings of an image (image_id, variant, reading: 'mixed' or 'single', text) the best: ten points a word, one more for the
+    first variant; a reading in a single script turns other words into junk and must win clearly. Ties by variant, mixed before single."""
+    words = F.coalesce(word_score(F.col("text")), F.lit(0)) * WORD_POINTS
+    single = F.floor(words / F.lit(SINGLE_MARGIN))
+    points = F.when(F.col("reading") == "single", single).otherwise(words + F.when(F.col("variant") == 0, FIRST_POINTS).otherwise(0))
+    best = Window.partitionBy("image_id").orderBy(F.desc("points"), "variant", "reading")
+    rows = readings.withColumn("points", points.cast("long"))
+    return rows.withColumn("_i", F.row_number().over(best)).where("_i = 1").drop("_i")

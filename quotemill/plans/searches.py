@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import wording as W
@@ -10,6 +11,7 @@ from ..operators import lookup as L
 from ..operators import matching as M
 from ..operators import report as R
 from ..operators import similar as Y
+from ..operators import verdict as V
 from .queries import DOCS, GLOSSARY, ITEMS, KEY, keyed, query, table
 
 # ---- J-14: sayings that the seed has already -----------------------------------------------------------------------
@@ -119,3 +121,83 @@ def snapped_passages(spark, sf_dir):
     sure = M.scored(found, inputs, corpus).where("confidence >= 80").select("input_id", "record_id")
     rows = heard.join(sure, "input_id").join(b.select(F.col("item_id").alias("record_id"), F.col("text").alias("source")), "record_id")
     return rows.select("input_id", "record_id", "heard", W.snapped_col(F.col("heard"), F.col("source")).alias("spelled"))
+
+
+# ---- gates, guards, readings ---------------------------------------------------------------------------------------
+
+#: fixed values: words of the query's rulings, sound and weak
+_SOUND, _WEAK = ("the", "las", "der", "les"), ("of", "que", "und", "des")
+_W = r"list_distinct(list_transform(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{M}}\p{{N}}_''’]+'), lambda w: trim(w, '''’')))"
+_IN = "len(list_intersect({}, {})) > 0"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+w AS (SELECT *, {_W.format("text")} AS said, {_W.format("before")} AS recorded, CASE WHEN before IS NULL THEN 'abstain' ELSE 'verified' END AS state FROM c),
+k AS (SELECT *, {_IN.format("recorded", list(_WEAK))} AS is_weak, {_IN.format("recorded", list(_SOUND))} AS sound, {_IN.format("said", list(_WEAK))} AS says_weak, {_IN.format("said", list(_SOUND))} AS says_sound FROM w)
+SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN sound AND NOT is_weak AND says_weak THEN 'contradicts a sound ruling' END, CASE WHEN is_weak AND says_sound THEN 'contradicts a weak ruling' END,
+ CASE WHEN state = 'abstain' AND (says_weak OR says_sound) THEN 'grades without a verdict' END,
+ CASE WHEN len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda n: NOT list_contains(regexp_extract_all(coalesce(before, ''), '[0-9]+'), n))) > 0 THEN 'numbers without a source' END], lambda x: x IS NOT NULL), ';') AS problems FROM k""")
+def checked_briefs(spark, sf_dir):
+    """P-19, P-20: each turn as a brief on the one before it; a first turn as one without a verdict."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("before"))
+    state = F.when(F.col("before").isNull(), "abstain").otherwise("verified")
+    problems = V.brief_problems(F.col("text"), F.col("before"), state, F.col("before"), _SOUND, _WEAK)
+    return c.select("conv_id", "turn", F.array_join(problems, ";").alias("problems"))
+
+
+@query(f"""WITH i AS (SELECT item_id, text, {KEY} AS key FROM benchmark), o AS (SELECT item_id, array_to_string(string_split(text, chr(10))[2:], chr(10)) AS text FROM benchmark), s AS (SELECT item_id, text, {KEY} AS key FROM o)
+SELECT item_id, CASE WHEN i.key = s.key OR 200.0::DOUBLE * {_COMMON} / greatest(1, length(i.key) + length(s.key)) >= 85 THEN md5(trim(s.text)) ELSE md5('') END AS cleaned FROM i JOIN s USING (item_id)""")
+def guarded_cleanings(spark, sf_dir):
+    """R-10: source passages without their first line as cleaned texts; those that drifted too far are turned away."""
+    b = table(spark, sf_dir, "benchmark")
+    lines = F.split("text", "\n")
+    cleaned = F.array_join(F.slice(lines, 2, F.size(lines)), "\n")
+    kept = V.cleaned_or_empty(cleaned, X.latin_key(cleaned, False), X.latin_key(F.col("text"), False))
+    return b.select("item_id", F.md5(kept).alias("cleaned"))
+
+
+_CLOSED = ("example.org", "social.test")
+
+
+@query(r"""WITH u AS (SELECT page_id, i, CASE i WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://', '') WHEN 2 THEN 'ftp' || regexp_replace(url, '^https?', '') WHEN 3 THEN replace(url, '/', ' ') ELSE 'mailto:' || url END AS url FROM pages, (SELECT unnest(range(5)) AS i)),
+w AS (SELECT *, regexp_matches(url, '(?i)^https?://') AS web, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url ELSE 'https://' || url END AS whole FROM u)
+SELECT page_id, i::INT AS i, CASE WHEN NOT web AND regexp_matches(url, '(?i)^([a-z][a-z0-9+.-]*://|(javascript|mailto|data|file|tel|sms):)') THEN 'scheme' WHEN NOT regexp_matches(whole, '(?i)^https?://[^/\s]+(:[0-9]+)?(/|$)') OR contains(whole, ' ') THEN 'invalid'
+WHEN regexp_matches(lower(regexp_extract(whole, '(?i)^https?://([^/:?#]+)', 1)), '(^|\.)(example\.org|social\.test)$') THEN 'login' ELSE 'valid' END AS link FROM w""")
+def checked_links(spark, sf_dir):
+    """P-16: the pages' links as they are, without their scheme, and in three forms that aren't links of the web."""
+    url = F.col("url")
+    forms = F.array(url, F.regexp_replace(url, "^https?://", ""), F.concat(F.lit("ftp"), F.regexp_replace(url, "^https?", "")), F.replace(url, F.lit("/"), F.lit(" ")), F.concat(F.lit("mailto:"), url))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(forms).alias("i", "url"))
+    return rows.select("page_id", "i", X.link_check(F.col("url"), list(_CLOSED)).alias("link"))
+
+
+@query()
+def language_gates(spark, sf_dir):
+    """P-11, N-7: documents at the gate of the English interface, by the language that their text shows."""
+    d = table(spark, sf_dir, "documents").withColumn("gate", X.input_gate(F.col("text"), F.lit("en")))
+    return d.groupBy("gate", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+_READ = r"len(list_filter(list_transform(regexp_split_to_array(t, '\s+'), lambda w: regexp_replace(w, '[^\p{L}\p{N}\p{M}_]', '', 'g')), lambda w: regexp_matches(w, '^[A-Za-z]{3,}$')))"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, 0 AS variant, 'mixed' AS reading, text AS t FROM conversations WHERE text IS NOT NULL UNION ALL SELECT conv_id, turn, 1, 'mixed', strip_accents(text) FROM conversations WHERE text IS NOT NULL
+ UNION ALL SELECT conv_id, turn, 0, 'single', strip_accents(text) FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT *, CASE reading WHEN 'single' THEN floor(10 * {_READ} / 1.3)::BIGINT ELSE 10 * {_READ} + CASE variant WHEN 0 THEN 1 ELSE 0 END END AS points FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY points DESC, variant, reading) AS i FROM p) SELECT conv_id, turn, variant::INT AS variant, reading, points FROM o WHERE i = 1""")
+def best_readings(spark, sf_dir):
+    """D-14, C-21: messages read as they are, and without accents in two ways."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    plain = F.translate("text", "áàâäãéèêëíìîïóòôöõúùûüçñÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN")
+    forms = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(k).alias("reading"), t.alias("text")) for v, k, t in ((0, "mixed", F.col("text")), (1, "mixed", plain), (0, "single", plain))))
+    rows = c.select(F.struct("conv_id", "turn").alias("image_id"), F.explode(forms).alias("f")).select("image_id", "f.*")
+    return L.best_reading(rows).select("image_id.conv_id", "image_id.turn", "variant", "reading", "points")
+
+
+@query("""SELECT c.conv_id, c.turn, CASE WHEN d.doc_id IS NOT NULL THEN to_json(struct_pack(lang := d.lang, n_chars := d.n_chars))::VARCHAR END AS facts
+FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE c.role = 'user'""")
+def facts_of_questions(spark, sf_dir):
+    """J-21: users' turns with the facts of the document that their conversation is about."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), "turn")
+    return V.facts_beside(q, table(spark, sf_dir, "documents"), "doc_id", ["lang", "n_chars"]).select(F.col("doc_id").alias("conv_id"), "turn", "facts")

@@ -1,7 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from quotemill.functions import text as X
+from quotemill.operators import lookup as L
 from quotemill.operators import verdict as V
 from quotemill.sources import readers as R
 
@@ -32,9 +35,9 @@ def test_readers(spark, tmp_path):
 
 def test_model_answers(spark):
     df = spark.createDataFrame([('{"candidates":[{"n":1,"same":true},{"n":1,"same":false},{"n":null}]}',), ("not json",)], "a string")
-    assert [r[0] for r in df.select(V.parse_verdicts(F.col("a"))).collect()] == [{1: True}, None]
-    df = spark.createDataFrame([('say {"segments":[{"text":" x ","type":"hadith"},{"text":"y","type":"?"},{"text":""}]} end',)], "a string")
-    assert [tuple(s) for s in df.select(V.parse_segments(F.col("a"))).first()[0]] == [("x", "hadith"), ("y", "other")]
+    assert [r[0] for r in df.select(V.parse_verdicts(F.col("a"))).collect()] == [{1: False}, None]  # the last answer holds
+    df = spark.createDataFrame([('say {"segments":[{"text":" eight letters ","type":"Hadith"},{"text":"seven a","type":"hadith"},{"text":"something else","type":"?"},{"text":""}]} end',)], "a string")
+    assert [tuple(s) for s in df.select(V.parse_segments(F.col("a"))).first()[0]] == [("eight letters", "hadith"), ("something else", "other")]
     kind = "input_id int, rank int, record_id int, stage string, confidence int, semantic double, lexical double, kind string, meaning_only boolean"
     cands = spark.createDataFrame([(1, 1, 10, "trigram", 76, 90.0, 40.0, "hadith", True), (1, 2, 11, "semantic", 70, 80.0, 30.0, "hadith", False), (2, 1, 12, "semantic", 70, 80.0, 30.0, "quran", False), (2, 2, 13, "exact", 95, 99.0, 99.0, "hadith", False)], kind)
     answers = spark.createDataFrame([(1, 2, True, True), (2, 1, True, True), (2, 2, False, True)], "input_id int, n int, same boolean, strong boolean")
@@ -48,5 +51,41 @@ def test_rulings_decide(spark):
     top = spark.createDataFrame([(i, i, "verified", 95, "link") for i in (1, 2, 3)], "input_id int, record_id int, state string, confidence int, source_url string")
     got = {r.record_id: (r.state, r.match_level, r.closest_only, r.grades and r.grades[0].url) for r in V.shown(V.with_rulings(top, corpus)).collect()}
     assert got == {1: ("verified", "verified", False, "link"), 2: ("unreliable", "verified", False, "u"), 3: ("uncertain", "verified", True, None)} or got[3][0] == "uncertain"
-    text = spark.createDataFrame([("this is fabricated, see 12 and 99",)], "t string")
-    assert text.select(V.brief_problems(F.col("t"), ["fabricated"], ["authentic"], F.lit("sahih"), F.array(F.lit("12")))).first()[0] == ["contradicts a sound ruling", "numbers without a source"]
+
+
+@pytest.mark.parametrize("text, ruling, state, facts, want", [
+    ("this is fabricated, see 12 and 99", "Sahih", "verified", '{"n": 12}', ["contradicts a sound ruling", "numbers without a source"]),
+    ("هو حديث الصحيح", "إسناده ضعيف", "unreliable", "", ["contradicts a weak ruling"]),
+    ("رواه صحيح البخاري برقم ٥٥", "موضوع", "unreliable", "55", []),  # a title isn't a ruling, digits are folded
+    ("it is authentic", "", "abstain", "", ["grades without a verdict"]),
+    ("it is authentic", "", "partial", "", []),
+    ("it is weak", "ضعيف لا صحيح", "unreliable", "", []),  # a weak word decides
+    (None, None, None, None, []),
+])
+def test_briefs_are_checked(spark, text, ruling, state, facts, want):
+    df = spark.createDataFrame([(text, ruling, state, facts)], "t string, r string, s string, f string")
+    assert df.select(V.brief_problems(F.col("t"), F.col("r"), F.col("s"), F.col("f"))).first()[0] == want
+
+
+def test_cleaned_texts_stay_near(spark):
+    rows = [(" one two three four five ", "one two three four five", "one two three four fives"), ("something else", "something else", "one two three four five"), (None, None, "x"), ("same", "same", "same")]
+    df = spark.createDataFrame(rows, "c string, k string, t string")
+    assert [r[0] for r in df.select(V.cleaned_or_empty(F.col("c"), F.col("k"), F.col("t"))).collect()] == ["one two three four five", "", "", "same"]
+
+
+def test_links_and_gates(spark):
+    links = {
+        "https://a.org/x": "valid", "a.org": "valid", "HTTP://A.org:80/": "valid", "ftp://a.org": "scheme", "javascript:alert(1)": "scheme", "mailto:a@b.c": "scheme", "https://": "invalid",
+        "a b.org": "invalid", "https://a.org/x y": "invalid", "https://m.closed.com/1": "login", "www.closed.com": "login", "notclosed.com": "valid", "": "invalid", None: "invalid",
+    }
+    got = spark.createDataFrame([(i, u) for i, u in enumerate(links)], "i int, u string").select("i", X.link_check(F.col("u"), ["closed.com"]).alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == list(links.values())
+    texts = [("", "en", "empty"), ("x" * 30, "en", "too long"), ("12 !", "ar", "valid"), ("words of it", "ar", "language"), ("كلام عربي", "ar", "valid"), ("كلام عربي", "en", "language"), (None, "en", "empty")]
+    df = spark.createDataFrame([(i, t, u) for i, (t, u, _) in enumerate(texts)], "i int, t string, u string")
+    assert [r.g for r in df.select("i", X.input_gate(F.col("t"), F.col("u"), 20).alias("g")).orderBy("i").collect()] == [w for _, _, w in texts]
+
+
+def test_best_reading(spark):
+    rows = [(1, 0, "mixed", "three words here"), (1, 1, "mixed", "three words here too"), (2, 0, "mixed", "one word"), (2, 1, "mixed", "two words"), (3, 0, "mixed", "ab"), (3, 0, "single", "nice words stand here"), (4, 0, "mixed", None)]
+    got = {r.image_id: (r.variant, r.reading) for r in L.best_reading(spark.createDataFrame(rows, "image_id int, variant int, reading string, text string")).collect()}
+    assert got == {1: (1, "mixed"), 2: (0, "mixed"), 3: (0, "single"), 4: (0, "mixed")}
