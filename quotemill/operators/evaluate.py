@@ -45,31 +45,91 @@ def pick(key: Column, salt: str, n: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
-def typo(key: Column, word: Column) -> Column:
-    """G-1: drops or swaps a letter of a word of four letters or more."""
-    at = pick(key, "at", F.length(word) - 2) + 2
+def typo(key: Column, word: Column, salt: str = "") -> Column:
+    """G-1: drops or swaps a letter inside a word of four letters or more, or writes it in another form: ta marbuta as ha, alef maqsura as
+    ya, else without its last letter."""
+    at = pick(key, f"at{salt}", F.length(word) - 2) + 2
     head, a, b = F.substring(word, F.lit(1), at - 1), F.substring(word, at, F.lit(1)), F.substring(word, at + 1, F.lit(1))
     dropped = F.concat(head, F.substring(word, at + 1, F.length(word)))
     swapped = F.concat(head, b, a, F.substring(word, at + 2, F.length(word)))
-    return F.when(F.length(word) < 4, word).when(pick(key, "how", F.lit(2)) == 0, dropped).otherwise(swapped)
+    form = F.when(F.contains(word, F.lit("ة")), F.replace(word, F.lit("ة"), F.lit("ه"))).when(F.contains(word, F.lit("ى")), F.replace(word, F.lit("ى"), F.lit("ي"))).otherwise(F.substring(word, F.lit(1), F.length(word) - 1))
+    how = pick(key, f"how{salt}", F.lit(3))
+    return F.when(F.length(word) < 4, word).when(how == 0, dropped).when(how == 1, swapped).otherwise(form)
 
 
-def variant(key: Column, text: Column) -> Column:
-    """G-2: a typo in one word that the key picks."""
+def _in_one_word(key: Column, text: Column, salt: str, change) -> Column:
     w = F.split(text, " ")
-    at = pick(key, "word", F.size(w))
-    return F.array_join(F.transform(w, lambda x, i: F.when(i == at, typo(key, x)).otherwise(x)), " ")
+    at = pick(key, f"word{salt}", F.size(w))
+    return F.array_join(F.transform(w, lambda x, i: F.when(i == at, change(x)).otherwise(x)), " ")
 
 
-def misquote(key: Column, text: Column, other: str = "zzz") -> Column:
-    """G-3: another word in one place."""
-    w = F.split(text, " ")
-    return F.array_join(F.transform(w, lambda x, i: F.when(i == pick(key, "word", F.size(w)), F.lit(other)).otherwise(x)), " ")
+# fixed values: what is written around a quotation
+WRAPPERS = (("قال رسول الله ﷺ: «", "»"), ("قال النبي صلى الله عليه وسلم: ", ""), ("«", "» رواه البخاري"), ("", ""))
+
+
+def variant(key: Column, text: Column) -> Column:
+    """G-2: typos in one word or two, in one of the `WRAPPERS`."""
+    once = _in_one_word(key, text, "1", lambda w: typo(key, w, "1"))
+    twice = _in_one_word(key, once, "2", lambda w: typo(key, w, "2"))
+    typed = F.when(pick(key, "typos", F.lit(2)) == 0, once).otherwise(twice)
+    wrapper = pick(key, "wrapper", F.lit(len(WRAPPERS)))
+    out = typed
+    for i, (before, behind) in enumerate(WRAPPERS):
+        out = F.when(wrapper == i, F.concat(F.lit(before), typed, F.lit(behind))).otherwise(out)
+    return out
+
+
+def misquote(key: Column, text: Column) -> Column:
+    """G-3: a typo in one word; a short word gets a letter more."""
+    return _in_one_word(key, text, "", lambda w: F.when(F.length(w) >= 4, typo(key, w)).otherwise(F.concat(w, F.lit("ا"))))
+
+
+FORMS = {"exact": lambda key, text: text, "variant": variant, "misquote": misquote}
 
 
 def labelled(corpus: DataFrame) -> DataFrame:
-    """G-4: every record as it is, with a typo, and misquoted: (record_id, group, text, expect)."""
+    """Every record of corpus(record_id, key) in the three forms: (record_id, group, text, expect)."""
     key = F.col("record_id")
-    forms = [("exact", F.col("key"), "verified"), ("variant", variant(key, F.col("key")), "partial"), ("misquote", misquote(key, F.col("key")), "partial")]
-    rows = F.array(*(F.struct(F.lit(g).alias("group"), t.alias("text"), F.lit(e).alias("expect")) for g, t, e in forms))
+    forms = [("exact", "verified"), ("variant", "partial"), ("misquote", "partial")]
+    rows = F.array(*(F.struct(F.lit(g).alias("group"), FORMS[g](key, F.col("key")).alias("text"), F.lit(e).alias("expect")) for g, e in forms))
     return corpus.where("key <> ''").select("record_id", F.explode(rows).alias("f")).select("record_id", "f.*")
+
+
+#: The groups of the labelled set: form, states that are right, whether a record is expected.
+GROUPS = {
+    "sahih_exact": ("exact", ["verified"], True), "sahih_variant": ("variant", ["verified", "partial"], True), "fabricated_or_weak": ("exact", ["unreliable"], True),
+    "ayah_exact": ("exact", ["verified"], True), "ayah_misquoted": ("misquote", ["verified", "partial"], True), "invented": ("exact", ["abstain"], False), "fatwa": ("exact", ["referral"], False),
+}
+
+
+def build_labelled(sources: dict[str, DataFrame]) -> DataFrame:
+    """G-4: (group, record_id, text, expect_state, expect_record) of the rows of sources(record_id, key) by group. Any record of the same
+    source with an equal key is right; rows without key are left out. Samples of sources are the caller's (`hash_sample`)."""
+    out = None
+    for group, source in sources.items():
+        form, states, named = GROUPS[group]
+        rows = source.where("key <> ''")
+        same = rows.groupBy("key").agg(F.array_sort(F.collect_set("record_id")).alias("expect_record"))
+        rows = rows.join(same, "key") if named else rows.withColumn("expect_record", F.lit(None).cast("array<long>"))
+        part = rows.select(F.lit(group).alias("group"), F.col("record_id").cast("long").alias("record_id"), FORMS[form](F.col("record_id"), F.col("key")).alias("text"), F.array(*map(F.lit, states)).alias("expect_state"), F.col("expect_record").cast("array<long>").alias("expect_record"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# fixed values: codes that a spoken text without words in a known language is refused with
+REFUSED = (("french", "stt_language"), ("silence", "stt_no_speech"), ("noise", "stt_no_speech|stt_unclear|stt_language"))
+SPOKEN_EXACT, SPOKEN_EN, LEAST_SPOKEN, MOST_SPOKEN = 20, 10, 60, 260
+
+
+def voice_labels(labelled_: DataFrame, corpus: DataFrame) -> DataFrame:
+    """G-5: what a voice set expects: (item, lang, text, expect_record, expect_error). The first 20 exact texts of a labelled set, ten English texts
+    of corpus(record_id, text_en) of 60 to 260 characters by a hash, without who narrated them, and the recordings that are to be
+    refused. The numbers are the set's size, as it is read out by voices."""
+    exact = labelled_.where("group = 'sahih_exact'").orderBy("record_id").limit(SPOKEN_EXACT)
+    en = corpus.where(F.length("text_en").between(LEAST_SPOKEN, MOST_SPOKEN)).withColumn("_d", F.md5(F.concat(F.lit("voice"), F.col("record_id").cast("string")))).orderBy("_d", "record_id").limit(SPOKEN_EN)
+    told = F.when(F.lower("text_en").startswith("narrated") & F.contains("text_en", F.lit(":")), F.trim(F.regexp_replace("text_en", r"^[^:]*:", ""))).otherwise(F.col("text_en"))
+    none = F.lit(None).cast("array<long>")
+    rows = exact.select(F.concat(F.lit("ar"), F.col("record_id")).alias("item"), F.lit("ar").alias("lang"), "text", "expect_record", F.lit(None).cast("string").alias("expect_error"))
+    rows = rows.unionByName(en.select(F.concat(F.lit("en"), F.col("record_id")).alias("item"), F.lit("en").alias("lang"), told.alias("text"), F.array(F.col("record_id").cast("long")).alias("expect_record"), F.lit(None).cast("string").alias("expect_error")))
+    refused = labelled_.sparkSession.createDataFrame([(f"neg_{name}", code) for name, code in REFUSED], "item string, expect_error string")
+    return rows.unionByName(refused.select("item", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), none.alias("expect_record"), "expect_error"))

@@ -278,17 +278,80 @@ def _pick(salt: str, n: str) -> str:
     return f"(('0x' || substr(md5(record_id::VARCHAR || '{salt}'), 1, 8))::BIGINT % ({n}))::INT"
 
 
-@query(f"""WITH {ITEMS}, w AS (SELECT record_id, key, string_split(key, ' ') AS w FROM b WHERE key <> ''), p AS (SELECT *, {_pick("word", "len(w)")} + 1 AS spot FROM w), o AS (SELECT *, w[spot] AS word FROM p),
-t AS (SELECT *, {_pick("at", "greatest(length(word) - 2, 1)")} + 2 AS i, {_pick("how", "2")} AS how FROM o),
-v AS (SELECT *, CASE WHEN length(word) < 4 THEN word WHEN how = 0 THEN substr(word, 1, i - 1) || substr(word, i + 1) ELSE substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) END AS typed FROM t)
-SELECT record_id, 'exact' AS "group", key AS text, 'verified' AS expect FROM v
-UNION ALL SELECT record_id, 'variant', array_to_string(list_transform(w, lambda x, j: CASE WHEN j = spot THEN typed ELSE x END), ' '), 'partial' FROM v
-UNION ALL SELECT record_id, 'misquote', array_to_string(list_transform(w, lambda x, j: CASE WHEN j = spot THEN 'zzz' ELSE x END), ' '), 'partial' FROM v""")
+def _typo(word: str, salt: str) -> str:
+    at, how = _pick(f"at{salt}", f"greatest(length({word}) - 2, 1)"), _pick(f"how{salt}", "3")
+    return f"""CASE WHEN length({word}) < 4 THEN {word} WHEN {how} = 0 THEN substr({word}, 1, {at} + 1) || substr({word}, {at} + 3)
+ WHEN {how} = 1 THEN substr({word}, 1, {at} + 1) || substr({word}, {at} + 3, 1) || substr({word}, {at} + 2, 1) || substr({word}, {at} + 4) ELSE left({word}, length({word}) - 1) END"""
+
+
+def _in_one_word(text: str, salt: str, change: str) -> str:
+    words = f"string_split({text}, ' ')"
+    return f"array_to_string(list_transform({words}, lambda x, j: CASE WHEN j = {_pick(f'word{salt}', f'len({words})')} + 1 THEN {change} ELSE x END), ' ')"
+
+
+def _variant(text: str) -> str:
+    once = _in_one_word(text, "1", _typo("x", "1"))
+    return f"CASE {_pick('typos', '2')} WHEN 0 THEN {once} ELSE {_in_one_word('(' + once + ')', '2', _typo('x', '2'))} END"
+
+
+def _wrapped(text: str) -> str:
+    return f"CASE {_pick('wrapper', '4')} " + " ".join(f"WHEN {i} THEN {sql_list([a])} || {text} || {sql_list([b])}" for i, (a, b) in enumerate(E.WRAPPERS)) + " END"
+
+
+def _misquote(text: str) -> str:
+    return _in_one_word(text, "", f"CASE WHEN length(x) >= 4 THEN {_typo('x', '')} ELSE x || 'ا' END")
+
+
+@query(f"""WITH {ITEMS}, v AS (SELECT *, {_variant("key")} AS typed FROM b WHERE key <> '')
+SELECT record_id, 'exact' AS "group", key AS text, 'verified' AS expect FROM v UNION ALL SELECT record_id, 'variant', {_wrapped("typed")}, 'partial' FROM v UNION ALL SELECT record_id, 'misquote', {_misquote("key")}, 'partial' FROM v""")
 def labelled_set(spark, sf_dir):
-    """G-1..G-4 over the source passages."""
+    """G-1..G-3 over the source passages."""
     return E.labelled(keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id"))
 
 
+def _labelled_sources(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    of = lambda label: keyed(docs.join(labels.where(label).select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "record_id")
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    items = keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id")
+    return {
+        "sahih_exact": items, "sahih_variant": items, "fabricated_or_weak": of("toxic = 1"), "ayah_exact": of("quality = 1"), "ayah_misquoted": of("quality = 1"),
+        "invented": keyed(turns.where("role = 'assistant'"), "id", "record_id"), "fatwa": keyed(turns.where("role = 'user'"), "id", "record_id"),
+    }
+
+
+_SOURCES_SQL = f"""{DOCS}, {ITEMS}, toxic AS (SELECT input_id AS record_id, key FROM d WHERE input_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), good AS (SELECT input_id AS record_id, key FROM d WHERE input_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+turns AS (SELECT conv_id * 1000 + turn AS record_id, role, {KEY} AS key FROM conversations WHERE text IS NOT NULL)"""
+
+
+def _group_sql(group: str, rows: str, text: str) -> str:
+    form, states, named = E.GROUPS[group]
+    ids = "array_to_string(list_sort(list(record_id) OVER (PARTITION BY key)), ',')" if named else "NULL"
+    return f"""SELECT '{group}' AS "group", record_id, md5({text}) AS text, '{",".join(states)}' AS states, {ids} AS records FROM ({rows}) WHERE key <> ''"""
+
+
+@query(f"WITH {_SOURCES_SQL} " + " UNION ALL ".join((
+    _group_sql("sahih_exact", "SELECT * FROM b", "key"), _group_sql("sahih_variant", f"SELECT *, {_variant('key')} AS typed FROM b", _wrapped("typed")), _group_sql("fabricated_or_weak", "SELECT * FROM toxic", "key"),
+    _group_sql("ayah_exact", "SELECT * FROM good", "key"), _group_sql("ayah_misquoted", f"SELECT *, {_misquote('key')} AS typed FROM good", "typed"),
+    _group_sql("invented", "SELECT * FROM turns WHERE role = 'assistant'", "key"), _group_sql("fatwa", "SELECT * FROM turns WHERE role = 'user'", "key"),
+)))
+def seven_groups(spark, sf_dir):
+    """G-4: source passages, labelled documents and turns as the seven groups, with the records that are right."""
+    rows = E.build_labelled(_labelled_sources(spark, sf_dir))
+    return rows.select("group", "record_id", F.md5("text").alias("text"), F.array_join("expect_state", ",").alias("states"), F.array_join(F.col("expect_record").cast("array<string>"), ",").alias("records"))
+
+
+@query(f"""WITH {ITEMS}, a AS (SELECT 'ar' || record_id AS item, 'ar' AS lang, key AS text, record_id::VARCHAR AS records, NULL AS expect_error FROM b WHERE key <> '' ORDER BY record_id LIMIT 20),
+e AS (SELECT 'en' || item_id AS item, 'en' AS lang, CASE WHEN starts_with(lower(text), 'narrated') AND contains(text, ':') THEN trim(regexp_replace(text, '^[^:]*:', '')) ELSE text END AS text, item_id::VARCHAR AS records, NULL AS expect_error
+ FROM benchmark WHERE length(text) BETWEEN 60 AND 260 ORDER BY md5('voice' || item_id), item_id LIMIT 10)
+SELECT * FROM a UNION ALL SELECT * FROM e UNION ALL SELECT 'neg_' || column0, NULL, NULL, NULL, column1 FROM (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in E.REFUSED) + """) v(column0, column1)""")
+def voice_labels(spark, sf_dir):
+    """G-5: a voice set of the source passages."""
+    b = table(spark, sf_dir, "benchmark")
+    rows = E.voice_labels(E.build_labelled({"sahih_exact": keyed(b, "item_id", "record_id")}), b.select(F.col("item_id").alias("record_id"), F.col("text").alias("text_en")))
+    return rows.select("item", "lang", "text", F.array_join(F.col("expect_record").cast("array<string>"), ",").alias("records"), "expect_error")
+
+
 @query()
 def word_errors(spark, sf_dir):
     """A-9, C-19: word error rates of the labelled set's forms against their records, by group."""
