@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.similarity import partial_ratio_col
+
 # fixed values: words of rulings (weak, authentic, authentic only in the negative, about narrators)
 WEAK = (
     "ضعيف|ضعف|موضوع|باطل|لا أصل|لا اصل|منكر|كذب|مكذوب|لم أجده|لم يرد|لا يصح|لم يصح|لا يثبت|لم يثبت|ليس بحديث|"
@@ -68,6 +70,50 @@ def unblocked(candidates: DataFrame, cards: DataFrame, key: str) -> DataFrame:
     return candidates.join(cards.where(blocks).select(key).distinct(), key, "left_anti")
 
 
+def search(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """J-11's search: (query_id, card_id) of queries(query_id, words) and cards(card_id, words) where a card has all the words of a query.
+
+    A query meets the cards that have its rarest word; the others are looked at there. A query without words finds nothing.
+    """
+    posts = cards.select("card_id", F.explode(F.array_distinct("words")).alias("word")).where("word <> ''")
+    asked = queries.select("query_id", F.array_distinct(F.filter("words", lambda w: w != "")).alias("words"))
+    each = asked.select("query_id", F.explode("words").alias("word"))
+    df = posts.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # a word that no card has is the rarest: it finds nothing
+    rarest = each.join(df, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).select("query_id", F.col("r.word").alias("word"))
+    met = rarest.join(posts, "word").select("query_id", "card_id")
+    both = met.join(asked, "query_id").join(cards.select("card_id", F.col("words").alias("has")), "card_id")
+    return both.where(F.size(F.array_except("words", "has")) == 0).select("query_id", "card_id")
+
+
+#: fixed value: a search asks for so many words at most
+QUERY_WORDS = 10
+
+
+def found_cards(sayings: DataFrame, cards: DataFrame) -> DataFrame:
+    """J-11, J-15: sayings(saying, key) with the cards(card_id, key, ...) that either search finds: for the first ten words, and (three words
+    or more) for the first and the last one. similarity is the best window's ratio of the saying in the card, position the cards' order by id."""
+    words = lambda key: F.split(key, " ")
+    known = sayings.where("saying is not null and key <> ''")
+    w = words(F.col("key"))
+    forms = F.array(F.slice(w, 1, QUERY_WORDS), F.when(F.size(w) >= 3, F.array(F.get(w, 0), F.element_at(w, -1))))
+    queries = known.select("saying", F.explode(forms).alias("words")).where("words is not null").select(F.struct("saying", "words").alias("query_id"), "words")
+    given = cards.where("card_id is not null and key <> ''")
+    hits = search(queries, given.select("card_id", words(F.col("key")).alias("words"))).select("query_id.saying", "card_id").distinct()
+    rows = hits.join(known.select("saying", F.col("key").alias("_asked")), "saying").join(given, "card_id")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    inside = F.contains("key", "_asked")
+    similarity = F.when(inside, 100.0).otherwise(partial_ratio_col(F.when(~inside, F.col("_asked")), F.col("key")))
+    return rows.withColumn("similarity", similarity).withColumn("position", F.col("card_id")).drop("_asked")
+
+
+def unblocked_by_search(sayings: DataFrame, cards: DataFrame) -> DataFrame:
+    """J-15 by searches: the sayings that no card blocks, of cards(card_id, key, grade). A search for authentic rulings alone finds the
+    cards whose class is strong."""
+    found = found_cards(sayings, cards.withColumn("class", grade_class(F.col("grade"))))
+    return unblocked(sayings, found.withColumn("authentic_search", F.col("class") == "strong"), "saying")
+
+
 def dedupe_cards(cards: DataFrame, page: str, text_key: str) -> DataFrame:
     """D-2: of a page's cards with the same scholar, book, last part of the number and text the first by position."""
     number = F.trim(F.element_at(F.split("number", "/"), -1))

@@ -10,6 +10,7 @@ from ..functions import wording as W
 from ..operators import lookup as L
 from ..operators import matching as M
 from ..operators import report as R
+from ..operators import rulings as RU
 from ..operators import similar as Y
 from ..operators import verdict as V
 from .queries import DOCS, GLOSSARY, ITEMS, KEY, keyed, query, table
@@ -201,3 +202,40 @@ def facts_of_questions(spark, sf_dir):
     """J-21: users' turns with the facts of the document that their conversation is about."""
     q = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), "turn")
     return V.facts_beside(q, table(spark, sf_dir, "documents"), "doc_id", ["lang", "n_chars"]).select(F.col("doc_id").alias("conv_id"), "turn", "facts")
+
+
+# ---- J-11, J-15: rulings found by searches -------------------------------------------------------------------------
+
+
+def _graded(spark, sf_dir):
+    """Labelled documents as cards: toxic ones are called fabricated, good ones sound, the others nothing."""
+    label = F.when(F.col("toxic") == 1, "حديث موضوع").when(F.col("quality") == 1, "حديث صحيح").otherwise("")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    cards = keyed(table(spark, sf_dir, "documents"), "doc_id", "doc_id").join(labels, "doc_id", "left")
+    return cards.select(F.col("doc_id").alias("card_id"), "key", F.coalesce(label, F.lit("")).alias("grade"))
+
+
+def _items(spark, sf_dir):
+    return keyed(table(spark, sf_dir, "benchmark"), "item_id", "saying")
+
+
+@query(f"""WITH {DOCS}, {ITEMS}, w AS (SELECT record_id AS saying, string_split(key, ' ') AS w FROM b WHERE key <> ''),
+q AS (SELECT saying, w[1:10] AS words FROM w UNION SELECT saying, [w[1], w[-1]] FROM w WHERE len(w) >= 3), h AS (SELECT input_id AS card_id, list_distinct(string_split(key, ' ')) AS has FROM d WHERE key <> '')
+SELECT DISTINCT saying, card_id FROM q JOIN h ON list_has_all(has, words)""")
+def searched_cards(spark, sf_dir):
+    """J-11's search: documents that have the first ten words of a source passage, or its first and its last one."""
+    return RU.found_cards(_items(spark, sf_dir), _graded(spark, sf_dir)).select("saying", "card_id")
+
+
+@query()
+def searched_rulings(spark, sf_dir):
+    """J-11, D-8, C-2: the four most relevant rulings of each source passage, by searches and the similarity of texts."""
+    found = RU.found_cards(_items(spark, sf_dir), _graded(spark, sf_dir)).where("grade <> ''")
+    rows = found.withColumn("same_book", F.lit(False)).withColumn("same_number", F.lit(False))
+    return RU.rank_rulings(rows, "saying").select("saying", "card_id", "grade", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query()
+def unblocked_passages(spark, sf_dir):
+    """J-15, C-2: the source passages that no document with a sound ruling blocks."""
+    return RU.unblocked_by_search(_items(spark, sf_dir), _graded(spark, sf_dir)).select("saying")

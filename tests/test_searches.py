@@ -5,10 +5,15 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from quotemill.functions import similarity as S
 from quotemill.functions import wording as W
+from quotemill.operators import evaluate as E
 from quotemill.operators import matching as M
 from quotemill.operators import report as R
 from quotemill.operators import retrieval
+from quotemill.operators import rulings as RU
 
 
 def test_runs_rebuild_both_sides():
@@ -99,3 +104,38 @@ def test_nearest_against_every_pair(spark, monkeypatch, cells, together):
         want += [(q, n, i, -c) for n, (c, i) in enumerate(best, 1)]
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, sorted(want)))
     assert M.nearest(queries, df.limit(0), 5, cells).count() == 0
+
+
+def test_searches_against_every_pair(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(14)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    sayings = [(i, text(rnd.randrange(1, 14))) for i in range(25)] + [(90, None), (91, ""), (92, "unheard words")]
+    cards = [(i, text(rnd.randrange(1, 40)), rnd.choice(["حديث صحيح", "موضوع", ""])) for i in range(60)] + [(90, None, ""), (91, "", "")]
+    cards += [(100 + i, f"{text(3)} {k} {text(3)}", "حديث صحيح") for i, (_, k) in enumerate(sayings[:9])]
+    s, c = spark.createDataFrame(sayings, "saying int, key string"), spark.createDataFrame(cards, "card_id int, key string, grade string")
+    want = {}
+    for i, k in sayings:
+        for j, t, _ in cards:
+            w = (k or "").split()
+            forms = [w[:10]] + ([[w[0], w[-1]]] if len(w) >= 3 else [])
+            if k and t and any(set(f) <= set(t.split()) for f in forms):
+                want[i, j] = S.partial_ratio(k, t)
+    got = {(r.saying, r.card_id): r.similarity for r in RU.found_cards(s, c).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    sound = {j for j, _, g in cards if g == "حديث صحيح"}
+    free = {i for i, _ in sayings if not any(a == i and b in sound and x >= 80 for (a, b), x in want.items())}
+    assert {r.saying for r in RU.unblocked_by_search(s, c).collect()} == free and not free & set(range(9))
+
+
+@pytest.mark.parametrize("word", ["شفاعة", "صلى", "knowledge", "abc", "كتاب"])
+def test_typos_are_one_slip(spark, word):
+    rows = spark.createDataFrame([(i, word) for i in range(40)], "k long, w string")
+    got = {r[0] for r in rows.select(E.typo(F.col("k"), F.col("w"))).collect()}
+    if len(word) < 4 and word != "صلى":
+        assert got == {word}
+        return
+    form = word.replace("ة", "ه") if "ة" in word else word.replace("ى", "ي") if "ى" in word else word[:-1]
+    dropped = {word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)}
+    swapped = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(1, len(word) - 1)}
+    assert got <= {form} | dropped | swapped | ({word} if len(word) < 4 else set()) and (len(word) < 4 or form in got)
