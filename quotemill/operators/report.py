@@ -83,9 +83,19 @@ def segments_out(matches: DataFrame, state: Column) -> DataFrame:
     return matches.groupBy("input_id").agg(F.sort_array(F.collect_list(row)).alias("segments"))
 
 
-def quran_note(kind: Column, is_attributed: Column, chapter: Column, number: Column) -> Column:
-    """R-4: a note when a verse is quoted as somebody's saying."""
-    return F.when((kind == "quran") & is_attributed, F.format_string("A verse of the Qur'an (%s %s), not a saying.", chapter, number))
+#: Our own wordings of the note on a verse and of a reply's parts, by language.
+VERSE_NOTES = {"en": "A verse of the Qur'an (%s %s), not a saying.", "ar": "آية من القرآن (%s %s) وليست قولًا منقولًا."}
+REPLIES = {
+    "en": {"more": "The same text has %d other places.", "end": "The full report has the details.",
+           "labels": {"verified": "Verified", "partial": "Partial", "uncertain": "Uncertain", "unreliable": "Unreliable", "abstain": "Abstain", "referral": "Referral"}},
+    "ar": {"more": "وللنص نفسه %d مواضع أخرى.", "end": "والتفصيل في التقرير الكامل.",
+           "labels": {"verified": "ثابت في مصدر", "partial": "ثابت بلفظ قريب", "uncertain": "لم يتأكد", "unreliable": "لا يصح", "abstain": "بلا حكم", "referral": "يُسأل عنه عالم"}},
+}
+
+
+def quran_note(kind: Column, is_attributed: Column, chapter: Column, number: Column, lang: str = "en") -> Column:
+    """R-4: a note where a verse is quoted as somebody's saying; null elsewhere."""
+    return F.when((kind == "quran") & is_attributed, F.format_string(VERSE_NOTES[lang], chapter, number))
 
 
 def where(book: Column, number: Column, lang: str) -> Column:
@@ -109,12 +119,13 @@ def accept_or_template(text: Column, problems: Column, template: Column) -> Colu
     return F.when((F.trim(F.coalesce(text, F.lit(""))) != "") & (F.size(problems) == 0), text).otherwise(template)
 
 
-def compose_reply(state: Column, brief: Column, note: Column, narrations: Column) -> Column:
-    """R-8: the assistant's reply in English: state, note of a verse or brief, and other places of a sound text."""
-    label = F.initcap(state)
-    more = F.when(state.isin("verified", "partial", "unreliable") & note.isNull() & (narrations > 0), F.format_string("The same text has %d other places.", narrations))
+def compose_reply(state: Column, brief: Column, note: Column, narrations: Column, lang: str = "en") -> Column:
+    """R-8: the assistant's reply: state, note of a verse or brief, and other places of a sound text."""
+    words = REPLIES[lang]
+    label = F.create_map(*[F.lit(x) for pair in words["labels"].items() for x in pair])[state]
+    more = F.when(state.isin("verified", "partial", "unreliable") & note.isNull() & (narrations > 0), F.format_string(words["more"], narrations))
     said = F.when(state.isin("abstain", "referral"), brief).otherwise(F.coalesce(note, brief))
-    return F.concat_ws(" ", F.concat(label, F.lit(".")), said, more, F.lit("The full report has the details."))
+    return F.concat_ws(" ", F.concat(label, F.lit(".")), said, more, F.lit(words["end"]))
 
 
 def focus_context(text: Column, focus: Column, via: Column, extracted: Column) -> Column:

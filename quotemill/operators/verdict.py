@@ -68,16 +68,27 @@ def with_rulings(top: DataFrame, corpus: DataFrame) -> DataFrame:
     return rows.withColumn("match_level", F.col("state")).withColumn("state", new)
 
 
-def reason(state_: Column, conf: Column) -> Column:
-    """R-1, English."""
-    return (
-        F.when(state_ == "verified", F.format_string("The wording agrees with the source (%d).", conf))
-        .when(state_ == "partial", F.format_string("The wording agrees in part (%d).", conf))
-        .when(state_ == "uncertain", F.format_string("Only the closest text is shown (%d).", conf))
-        .when(state_ == "unreliable", F.lit("The recorded ruling doesn't let it be attributed."))
-        .when(state_ == "referral", F.lit("A personal question belongs to a qualified person."))
-        .otherwise(F.lit("No source was found."))
-    )
+#: Our own wordings of why a state is given: {conf} is the confidence, {where} the record.
+REASONS = {
+    "en": {
+        "verified": "The wording agrees with {where} ({conf}).", "partial": "The wording agrees in part with {where} ({conf}).", "uncertain": "Only the closest text is shown, {where} ({conf}).",
+        "unreliable": "The ruling recorded for {where} doesn't let it be attributed.", "referral": "A personal question belongs to a qualified person.", "": "No source was found.", "source": "the source",
+    },
+    "ar": {
+        "verified": "اللفظ موافق لما في {where} ({conf}).", "partial": "اللفظ موافق في بعضه لما في {where} ({conf}).", "uncertain": "المعروض أقرب نص فحسب، من {where} ({conf}).",
+        "unreliable": "الحكم المنقول في {where} لا يسمح بنسبته.", "referral": "السؤال الشخصي يُسأل عنه أهل العلم.", "": "لم يوجد مصدر.", "source": "المصدر",
+    },
+}
+
+
+def reason(state_: Column, conf: Column, record: Column | None = None, lang: str = "en") -> Column:
+    """R-1: why a state is given, in English or Arabic, with the record's name where there is one."""
+    texts = REASONS[lang]
+    named = F.lit(texts["source"]) if record is None else F.coalesce(F.nullif(record, F.lit("")), F.lit(texts["source"]))
+    template = F.lit(texts[""])
+    for name in ("verified", "partial", "uncertain", "unreliable", "referral"):
+        template = F.when(state_ == name, texts[name]).otherwise(template)
+    return F.replace(F.replace(template, F.lit("{where}"), named), F.lit("{conf}"), F.coalesce(conf.cast("string"), F.lit("")))
 
 
 def shown(report: DataFrame) -> DataFrame:

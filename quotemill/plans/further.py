@@ -309,8 +309,8 @@ def guarded_routes(spark, sf_dir):
 def quoted_spans(spark, sf_dir):
     """X-1, P-8..P-10: the spans of every document that may be quotations, and whether they are marked as one. Regular expressions with
     look-behind aren't DuckDB's; tests hold it against cases worked out by hand."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(P.quote_candidates_col(F.col("text"))).alias("position", "span"))
-    return d.select("doc_id", "position", "span", P.marked_col(F.col("text"), F.col("span")).alias("marked"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.marked_candidates_col(F.col("text"))).alias("position", "s"))
+    return d.select("doc_id", "position", "s.span", "s.marked")
 
 
 @query()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import similarity as S
+from ..functions import spans as P
 from ..functions import text as X
 from ..functions import wording as W
 from ..operators import lookup as L
@@ -239,3 +241,43 @@ def searched_rulings(spark, sf_dir):
 def unblocked_passages(spark, sf_dir):
     """J-15, C-2: the source passages that no document with a sound ruling blocks."""
     return RU.unblocked_by_search(_items(spark, sf_dir), _graded(spark, sf_dir)).select("saying")
+
+
+# ---- N-13, R-1, R-4, R-8 in Arabic ---------------------------------------------------------------------------------
+
+
+@query(rf"""WITH v AS (SELECT conv_id, turn, regexp_replace(regexp_replace((turn + 1) || '. ' || replace(text, ', ', ' (') || ')', '^\s*\d+\.\s*', ''), '\([^)]*\)|\[[^\]]*\]', ' ', 'g') AS text FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, {KEY} AS key FROM v""")
+def verse_keys(spark, sf_dir):
+    """N-13 for verses: messages with their turn as a verse's number, and brackets from their commas on."""
+    text = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.replace("text", F.lit(", "), F.lit(" (")), F.lit(")"))
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", X.latin_key(P.verse_key_text(text), False).alias("key"))
+
+
+def _quote(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _reason_sql(lang: str) -> str:
+    texts = V.REASONS[lang]
+    return "replace(replace(CASE state " + " ".join(f"WHEN '{k}' THEN {_quote(texts[k])}" for k in ("verified", "partial", "uncertain", "unreliable", "referral")) + f" ELSE {_quote(texts[''])} END, '{{where}}', item), '{{conf}}', confidence::VARCHAR)"
+
+
+_LABELS_AR = "CASE state " + " ".join(f"WHEN '{k}' THEN {_quote(v)}" for k, v in R.REPLIES["ar"]["labels"].items()) + " END"
+
+
+@query(f"""WITH {DOCS}, {ITEMS}, c AS (SELECT d.input_id AS doc_id, 'item ' || b.record_id AS item, (100 * length(b.key) // length(d.key))::INT AS confidence, count(*) OVER (PARTITION BY b.record_id) - 1 AS others FROM d JOIN b ON length(b.key) >= 15 AND contains(d.key, b.key)),
+s AS (SELECT *, CASE WHEN confidence >= 90 THEN 'verified' WHEN confidence >= 75 THEN 'partial' WHEN confidence >= 50 THEN 'uncertain' ELSE 'abstain' END AS state FROM c)
+SELECT doc_id, item, {_reason_sql("en")} AS reason_en, {_reason_sql("ar")} AS reason_ar,
+ concat_ws(' ', {_LABELS_AR} || '.', {_reason_sql("ar")}, CASE WHEN state IN ('verified', 'partial', 'unreliable') AND others > 0 THEN replace({_quote(R.REPLIES["ar"]["more"])}, '%d', others::VARCHAR) END, {_quote(R.REPLIES["ar"]["end"])}) AS reply_ar FROM s""")
+def bilingual_reports(spark, sf_dir):
+    """R-1, R-8, C-12 in both languages: documents with the source passages that they hold; confidence is the passage's share of the document."""
+    d, b = keyed(table(spark, sf_dir, "documents"), "doc_id", "input_id"), keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id")
+    size = lambda df, id_, name: df.select(id_, F.length("key").alias(name))
+    rows = M.contained(d, b).join(size(d, "input_id", "n"), "input_id").join(size(b, "record_id", "m"), "record_id")
+    rows = rows.withColumn("confidence", F.floor(100 * F.col("m") / F.col("n")).cast("int")).withColumn("state", S.state(F.col("confidence")))
+    rows = rows.withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("record_id")) - 1).withColumn("item", F.concat(F.lit("item "), F.col("record_id").cast("string")))
+    why = {lang: V.reason(F.col("state"), F.col("confidence"), F.col("item"), lang) for lang in ("en", "ar")}
+    reply = R.compose_reply(F.col("state"), why["ar"], F.lit(None).cast("string"), F.col("others"), "ar")
+    return rows.select(F.col("input_id").alias("doc_id"), "item", why["en"].alias("reason_en"), why["ar"].alias("reason_ar"), reply.alias("reply_ar"))
