@@ -84,14 +84,15 @@ def columns(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*((F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
 
 
-def numbered(rows: DataFrame, tree: str, *order: str) -> DataFrame:
+def numbered(rows: DataFrame, tree: str, *order: str, written: bool = True) -> DataFrame:
     """rows with `place`, from 0, in the order of the columns `order` within its tree (a string column without nulls), and `total`,
     the tree's number of rows; nulls first.
 
     Rows are dealt out by ranges of (tree, order) and counted within their task; what the tasks before hold is added, so no
-    tree, however large, comes together in one task. Among equal rows the order is any.
+    tree, however large, comes together in one task. Among equal rows the order is any. `written`: are the rows written first, since
+    the ranges are drawn from a pass of their own? Else that pass makes them a second time.
     """
-    rows = materialize(rows)  # ranges are drawn from a pass of their own
+    rows = materialize(rows) if written else rows
     schema = T.StructType([*rows.schema.fields, T.StructField("_slice", T.IntegerType()), T.StructField("_nth", T.LongType())])
 
     def count(batches):

@@ -136,7 +136,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
     rows = rows.select("conv", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("hit") == 3, 2).otherwise(1))).alias("_copy"))
     shown = F.rtrim("text", F.lit(SPACES))
     fault = F.when(shown == "", "blank").when(F.right(shown, F.lit(1)).isin(".", "!", "?"), "").otherwise("truncated")
-    return rows.select("conv", "turn", "role", "text", F.sha2(F.concat_ws(":", "role", "text"), 256).alias("digest"), F.substring("role", 1, 1).alias("initial"), fault.alias("fault"))
+    return rows.select("conv", "turn", "role", "text", F.unhex(F.sha2(F.concat_ws(":", "role", "text"), 256)).alias("digest"), F.substring("role", 1, 1).alias("initial"), fault.alias("fault"))
 
 
 def key():
@@ -145,12 +145,13 @@ def key():
 
 
 def stretches(rows: DataFrame) -> DataFrame:
-    """conv, stretch, last, items (array of place, role, text, initial, fault, turn): written, one row for each stretch."""
-    placed = materialize(numbered(rows, "conv", "turn", "role", "digest"))
+    """conv, stretch, last, items (array of place, role, digest, initial, fault, turn): written, one row for each stretch. Texts stay
+    behind: their digests stand for them."""
+    placed = numbered(rows.drop("text"), "conv", "turn", "role", "digest", written=False)
     again = placed.groupBy("conv", "digest", "role").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     known = placed.join(again, ["conv", "digest", "role"], "left")
     fault = F.when(F.col("fault") == "blank", "blank").when(F.col("place") > F.col("first"), "duplicate").otherwise(F.col("fault"))
-    item = F.struct("place", "role", "text", "initial", fault.alias("fault"), "turn")
+    item = F.struct("place", "role", "digest", "initial", fault.alias("fault"), "turn")
     stretch = F.floor(F.col("place") / STRETCH).cast("long")
     packed = known.groupBy("conv", "total", stretch.alias("stretch")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     return materialize(packed.select("conv", "stretch", (F.col("stretch") == F.floor((F.col("total") - 1) / STRETCH)).alias("last"), "items"))
@@ -247,35 +248,46 @@ def _joined(ways: DataFrame) -> DataFrame:
     return per_batch(one, work, "conv string, stretch long, role int, audit string, cost long")
 
 
-def _repaired(cut: DataFrame, joined: DataFrame) -> DataFrame:
-    """conv, audit, repaired_sha256: a conversation's stretches pass in their order through one hash."""
+def _lines(cut: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of the repaired conversations: conv, at (their order), role, digest (null if put in)."""
     rows = cut.join(joined.select("conv", "stretch", "role", "audit"), ["conv", "stretch"])
-    rows = rows.select("conv", "stretch", "role", "audit", *(F.col(f"items.{c}").alias(f"{c}s") for c in ("role", "text", "initial", "fault")))
+    rows = rows.select("conv", "stretch", "role", "audit", *(F.col(f"items.{c}").alias(f"{c}s") for c in ("role", "digest", "initial", "fault")))
 
     def work(batches):
-        now, letters, held, some = None, [], hashlib.sha256(), False
+        for batch in batches:
+            out: dict[str, list] = {"conv": [], "at": [], "role": [], "digest": []}
+            for conv, stretch, role, audit, roles, digests, initials, faults in zip(*(batch.column(c).to_pylist() for c in ("conv", "stretch", "role", "audit", "roles", "digests", "initials", "faults"))):
+                for n, (at, new) in enumerate(walked(audit, role, list(zip(initials, faults)))[1]):
+                    for name, x in zip(out, (conv, stretch << 32 | n, new if at is None else new or roles[at], None if at is None else digests[at])):
+                        out[name].append(x)
+            yield out
 
-        def ended():
-            return {"conv": [now], "audit": ["".join(letters)], "repaired_sha256": [held.hexdigest()]}
+    return per_batch(rows, work, "conv string, at long, role string, digest binary")
 
+
+def _hashed(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """conv, repaired_sha256: texts come back by their digests, and a conversation's lines pass in their order through one hash."""
+    texts = rows.select("conv", "digest", "text").dropDuplicates(["conv", "digest"])
+    with_text = lines.where("digest is not null").join(texts, ["conv", "digest"]).select("conv", "at", "role", "text")
+    every = with_text.unionByName(lines.where("digest is null").select("conv", "at", "role", F.lit("").alias("text")))
+
+    def work(batches):
+        now, held, some = None, hashlib.sha256(), False
         for batch in batches:
-            out: dict[str, list] = {"conv": [], "audit": [], "repaired_sha256": []}
-            for conv, role, audit, roles, texts, initials, faults in zip(*(batch.column(c).to_pylist() for c in ("conv", "role", "audit", "roles", "texts", "initials", "faults"))):
+            out: dict[str, list] = {"conv": [], "repaired_sha256": []}
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv", "role", "text"))):
                 if conv != now:
                     if now is not None:
-                        for name, x in ended().items():
-                            out[name] += x
-                    now, letters, held, some = conv, [], hashlib.sha256(), False
-                letters.append(audit)
-                for at, new in walked(audit, role, list(zip(initials, faults)))[1]:
-                    line = f"{new}:" if at is None else f"{new or roles[at]}:{texts[at]}"
-                    held.update((("\n" if some else "") + line).encode("utf-8", "surrogatepass"))
-                    some = True
+                        out["conv"].append(now)
+                        out["repaired_sha256"].append(held.hexdigest())
+                    now, held, some = conv, hashlib.sha256(), False
+                held.update((("\n" if some else "") + f"{role}:{text}").encode("utf-8", "surrogatepass"))
+                some = True
             yield out
         if now is not None:
-            yield ended()
+            yield {"conv": [now], "repaired_sha256": [held.hexdigest()]}
 
-    return per_batch(rows.repartition("conv").sortWithinPartitions("conv", "stretch"), work, "conv string, audit string, repaired_sha256 string")
+    return per_batch(every.repartition("conv").sortWithinPartitions("conv", "at"), work, "conv string, repaired_sha256 string")
 
 
 def repair(conversations: DataFrame) -> DataFrame:
@@ -288,11 +300,14 @@ def repair(conversations: DataFrame) -> DataFrame:
     columns play no part. The roles' initials are their first characters: other ones can't be kept.
     """
     tune(conversations.sparkSession)
-    cut = stretches(damaged(conversations))
+    rows = damaged(conversations)
+    cut = stretches(rows)
     behind = materialize(_behind(_counted(cut)))
     joined = materialize(_joined(_ways(cut, behind)))
     ids = columns(conversations, conv_id="long").distinct().withColumn("conv", key())
-    found = ids.join(behind.where("stretch = 0").drop("stretch", "behind"), "conv", "left").join(joined.where("stretch = 0").select("conv", "cost"), "conv", "left").join(_repaired(cut, joined), "conv", "left")
+    letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stretch", "audit"))), lambda x: x["audit"]), "")
+    whole = joined.groupBy("conv").agg(letters.alias("audit"), F.max("cost").alias("cost"))
+    found = ids.join(behind.where("stretch = 0").drop("stretch", "behind"), "conv", "left").join(whole, "conv", "left").join(_hashed(_lines(cut, joined), rows), "conv", "left")
     counts = (F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
     nothing = F.lit(hashlib.sha256().hexdigest())
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
