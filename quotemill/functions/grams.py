@@ -21,29 +21,33 @@ def grams(key: str) -> np.ndarray:
     return codes[inside[: len(codes)]]
 
 
+#: Numbers of a table of beginnings and trigrams that are looked at together.
+_TOGETHER = 1 << 20
+
+
 def best_extent(wanted: np.ndarray, have: np.ndarray, least: float = 0.0) -> float:
     """Shared kinds of trigrams over all kinds of a query and a stretch of `have`, for the best stretch; 0 if that is under `least`.
 
-    A stretch begins and ends at wanted trigrams. From each beginning it grows only as long as all wanted ones together could
-    still beat the best: other kinds in it leave wanted / (wanted + others) at most.
+    A stretch begins at a wanted trigram. In a table of beginnings and trigrams, one is a new kind of the stretch where its last
+    occurrence lies before the beginning; sums along the rows give the shared and the other kinds of every stretch at once.
     """
-    kinds = set(wanted.tolist())
-    n, best = len(kinds), 0.0
-    if not n:
+    kinds = np.unique(wanted)
+    n, m = len(kinds), len(have)
+    if not n or not m:
         return 0.0
-    row = have.tolist()
-    is_wanted = [g in kinds for g in row]
-    for start in (i for i, hit in enumerate(is_wanted) if hit):
-        seen: set[int] = set()
-        other: set[int] = set()
-        for i in range(start, len(row)):
-            if is_wanted[i]:
-                seen.add(row[i])
-                best = max(best, len(seen) / (n + len(other)))
-            else:
-                other.add(row[i])
-                if n < max(best, least) * (n + len(other)):
-                    break
+    hit = np.isin(have, kinds)
+    order = np.argsort(have, kind="stable")
+    before = np.full(m, -1)
+    same = have[order][1:] == have[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    starts, at, best = np.flatnonzero(hit), np.arange(m), 0.0
+    step = max(1, _TOGETHER // m)
+    for i in range(0, len(starts), step):
+        first = starts[i : i + step, None]
+        new = (before < first) & (at >= first)
+        shared = np.cumsum(new & hit, axis=1, dtype=np.int32)
+        other = np.cumsum(new & ~hit, axis=1, dtype=np.int32)
+        best = max(best, float((shared / (n + other)).max()))
     return best if best >= least else 0.0
 
 
