@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import grams as G
 from ..functions import similarity as S
+from .work import work_table
 
 #: Of a probe's rarest grams, so many must be shared before sets are compared.
 FIRST_SHARED = 4
@@ -61,7 +62,7 @@ def word_similar(probes: DataFrame, classes: DataFrame, least: float) -> DataFra
     widen the windows of the others. Probes without words have none.
     """
     wanted = probes.select("probe_id", _codes(F.col("probe")).alias("wanted")).withColumn("n", F.size("wanted")).where("n > 0")
-    wanted = wanted.withColumn("band", F.length(F.bin("n")))
+    wanted = work_table(wanted.withColumn("band", F.length(F.bin("n"))))
     out = None
     for band in sorted(r.band for r in wanted.select("band").distinct().collect()):  # 31 at most
         found = _in_band(wanted.where(f"band = {band}"), classes, least, (1 << band) - 1)
@@ -71,7 +72,8 @@ def word_similar(probes: DataFrame, classes: DataFrame, least: float) -> DataFra
 
 def _in_band(wanted: DataFrame, classes: DataFrame, least: float, most: int) -> DataFrame:
     """word_similar() of probes of `most` kinds at most."""
-    windows = _windows(classes, int(most / least + 1e-9) + 1)
+    kinds = int(most / least + 1e-9) + 1
+    windows = _windows(classes, kinds)
     posts = windows.select("class_id", "at", F.explode(F.array_distinct("row")).alias("gram"))
     # a hair under the product: what rounding makes of it must not ask for one more
     shared = F.ceil(least * F.col("n") - 1e-9)
@@ -80,7 +82,9 @@ def _in_band(wanted: DataFrame, classes: DataFrame, least: float, most: int) ->
     rarest = Window.partitionBy("probe_id").orderBy("df", "gram")
     first = rows.join(df, "gram", "left").na.fill(0, ["df"]).withColumn("i", F.row_number().over(rarest)).where(F.col("i") <= F.col("n") - F.col("t") + F.col("s")).where("df > 0")
     met = first.select("probe_id", "s", "gram").join(posts, "gram").groupBy("probe_id", "class_id", "at", "s").agg(F.count(F.lit(1)).alias("c")).where("c >= s")
-    pairs = met.select("probe_id", "class_id", "at").join(wanted, "probe_id").join(windows, ["class_id", "at"])
+    met = work_table(met.select("probe_id", "class_id", "at"))
+    looked_at = _windows(classes.join(met.select("class_id").distinct(), "class_id", "left_semi"), kinds)
+    pairs = met.join(wanted.select("probe_id", "wanted"), "probe_id").join(looked_at, ["class_id", "at"])
 
     @F.pandas_udf("double")
     def best(wanted: pd.Series, row: pd.Series) -> pd.Series:
@@ -97,6 +101,7 @@ def _in_band(wanted: DataFrame, classes: DataFrame, least: float, most: int) ->
 def top_similar(probes: DataFrame, records: DataFrame, least: float, k: int) -> DataFrame:
     """(probe_id, record_id, similarity, rank): of each probe the k records most similar to it, of equal ones the smaller ids first."""
     classes, members = classes_of(records)
+    classes = work_table(classes)
     early = members.withColumn("i", F.row_number().over(Window.partitionBy("class_id").orderBy("record_id"))).where(F.col("i") <= k).drop("i")
     best = Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "record_id")
     found = word_similar(probes, classes, least).join(early, "class_id")
