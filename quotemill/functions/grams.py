@@ -21,33 +21,52 @@ def grams(key: str) -> np.ndarray:
     return codes[inside[: len(codes)]]
 
 
-#: Numbers of a table of beginnings and trigrams that are looked at together.
-_TOGETHER = 1 << 20
+#: Numbers of a table that are looked at together; beginnings that are bounded together, and such groups that are counted together.
+_TOGETHER, _GROUP, _GROUPS = 1 << 20, 8, 8
 
 
 def best_extent(wanted: np.ndarray, have: np.ndarray, least: float = 0.0) -> float:
     """Shared kinds of trigrams over all kinds of a query and a stretch of `have`, for the best stretch; 0 if that is under `least`.
 
-    A stretch begins at a wanted trigram. In a table of beginnings and trigrams, one is a new kind of the stretch where its last
-    occurrence lies before the beginning; sums along the rows give the shared and the other kinds of every stretch at once.
+    The best stretch begins and ends at wanted trigrams. In a table of beginnings and ends, a trigram is a new kind of the
+    stretches that begin after its last occurrence and end behind it: a rectangle, so sums along rows and columns give the
+    shared and the other kinds of every stretch. Beginnings side by side share at most what the first of them does, beside at least
+    the other kinds of the last: groups that can't reach `least`, or the best so far, aren't counted one by one.
     """
     kinds = np.unique(wanted)
-    n, m = len(kinds), len(have)
-    if not n or not m:
-        return 0.0
     hit = np.isin(have, kinds)
+    n, h = len(kinds), int(hit.sum())
+    if not h:
+        return 0.0
+    place = np.cumsum(hit) - hit  # a wanted trigram's own number, another one's next
+    behind = place + hit
     order = np.argsort(have, kind="stable")
-    before = np.full(m, -1)
     same = have[order][1:] == have[order][:-1]
-    before[order[1:][same]] = order[:-1][same]
-    starts, at, best = np.flatnonzero(hit), np.arange(m), 0.0
-    step = max(1, _TOGETHER // m)
-    for i in range(0, len(starts), step):
-        first = starts[i : i + step, None]
-        new = (before < first) & (at >= first)
-        shared = np.cumsum(new & hit, axis=1, dtype=np.int32)
-        other = np.cumsum(new & ~hit, axis=1, dtype=np.int32)
-        best = max(best, float((shared / (n + other)).max()))
+    first_row = np.zeros(len(have), int)
+    first_row[order[1:][same]] = behind[order[:-1][same]]
+    ours, others = np.flatnonzero(hit), np.flatnonzero(~hit & (place < h))
+
+    def counts(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+        table = np.zeros((len(rows) + 1, h), np.int32)
+        np.add.at(table, (np.searchsorted(rows, first_row[of]), place[of]), 1)
+        np.add.at(table, (np.searchsorted(rows, behind[of]), place[of]), -1)
+        return table[:-1].cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32)
+
+    first = np.arange(0, h, _GROUP)
+    last = np.minimum(first + _GROUP, h) - 1
+    step = max(1, _TOGETHER // h)
+    bound = np.concatenate([(counts(first[i : i + step], ours) / (n + counts(last[i : i + step], others))).max(axis=1) for i in range(0, len(first), step)])
+    groups, best = np.argsort(-bound, kind="stable"), 0.0
+    for i in range(0, len(groups), _GROUPS):
+        some = groups[i : i + _GROUPS]
+        some = some[bound[some] >= max(best, least)]
+        if not len(some):
+            break
+        rows = np.sort((first[some, None] + np.arange(_GROUP)).ravel())
+        rows = rows[rows < h]
+        for j in range(0, len(rows), step):
+            part = rows[j : j + step]
+            best = max(best, float((counts(part, ours) / (n + counts(part, others))).max()))
     return best if best >= least else 0.0
 
 
