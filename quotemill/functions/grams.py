@@ -21,52 +21,64 @@ def grams(key: str) -> np.ndarray:
     return codes[inside[: len(codes)]]
 
 
-#: Numbers of a table that are looked at together; beginnings that are bounded together, and such groups that are counted together.
-_TOGETHER, _GROUP, _GROUPS = 1 << 20, 8, 8
+#: Beginnings that are bounded together, those of one table, and numbers of a table at most.
+_GROUP, _BLOCK, _TOGETHER = 8, 256, 1 << 20
 
 
-def best_extent(wanted: np.ndarray, have: np.ndarray, least: float = 0.0) -> float:
+def last_places(have: np.ndarray) -> np.ndarray:
+    """Where each trigram of a row stood last before, one added; 0 for the first of its kind."""
+    order = np.argsort(have, kind="stable")
+    same = have[order][1:] == have[order][:-1]
+    out = np.zeros(len(have), int)
+    out[order[1:][same]] = order[:-1][same] + 1
+    return out
+
+
+def best_extent(wanted: np.ndarray, have: np.ndarray, least: float = 0.0, last: np.ndarray | None = None) -> float:
     """Shared kinds of trigrams over all kinds of a query and a stretch of `have`, for the best stretch; 0 if that is under `least`.
 
-    The best stretch begins and ends at wanted trigrams. In a table of beginnings and ends, a trigram is a new kind of the
-    stretches that begin after its last occurrence and end behind it: a rectangle, so sums along rows and columns give the
-    shared and the other kinds of every stretch. Beginnings side by side share at most what the first of them does, beside at least
-    the other kinds of the last: groups that can't reach `least`, or the best so far, aren't counted one by one.
+    The best stretch begins and ends at wanted trigrams, and one that reaches `least` has no more kinds than the query's by `least`,
+    so beginnings side by side need a short part of the row. In their table of beginnings and ends a trigram is a new kind of the
+    stretches that begin after its last place (`last`, if known) and end behind it: a rectangle, so sums along rows and columns give the shared and the
+    other kinds of every stretch. Beginnings side by side share at most what the first of them does, beside at least the other
+    kinds of the last: groups that can't reach `least`, or the best so far, aren't counted one by one.
     """
     kinds = np.unique(wanted)
     hit = np.isin(have, kinds)
-    n, h = len(kinds), int(hit.sum())
+    at = np.flatnonzero(hit)
+    n, h = len(kinds), len(at)
     if not h:
         return 0.0
+    last = last_places(have) if last is None else last
     place = np.cumsum(hit) - hit  # a wanted trigram's own number, another one's next
     behind = place + hit
-    order = np.argsort(have, kind="stable")
-    same = have[order][1:] == have[order][:-1]
-    first_row = np.zeros(len(have), int)
-    first_row[order[1:][same]] = behind[order[:-1][same]]
-    ours, others = np.flatnonzero(hit), np.flatnonzero(~hit & (place < h))
-
-    def counts(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-        table = np.zeros((len(rows) + 1, h), np.int32)
-        np.add.at(table, (np.searchsorted(rows, first_row[of]), place[of]), 1)
-        np.add.at(table, (np.searchsorted(rows, behind[of]), place[of]), -1)
-        return table[:-1].cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32)
-
-    first = np.arange(0, h, _GROUP)
-    last = np.minimum(first + _GROUP, h) - 1
-    step = max(1, _TOGETHER // h)
-    bound = np.concatenate([(counts(first[i : i + step], ours) / (n + counts(last[i : i + step], others))).max(axis=1) for i in range(0, len(first), step)])
-    groups, best = np.argsort(-bound, kind="stable"), 0.0
-    for i in range(0, len(groups), _GROUPS):
-        some = groups[i : i + _GROUPS]
-        some = some[bound[some] >= max(best, least)]
-        if not len(some):
-            break
-        rows = np.sort((first[some, None] + np.arange(_GROUP)).ravel())
-        rows = rows[rows < h]
-        for j in range(0, len(rows), step):
-            part = rows[j : j + step]
-            best = max(best, float((counts(part, ours) / (n + counts(part, others))).max()))
+    first_row = np.append(place, h)[last]
+    most, best = n / least + 1e-9 if least else np.inf, 0.0
+    block = max(_GROUP, min(_BLOCK, _TOGETHER // h // _GROUP * _GROUP))
+    for low in range(0, h, block):
+        high = min(low + block, h)
+        begin = at[high - 1]
+        many = np.cumsum(last[begin:] <= begin)
+        end = begin + int(np.searchsorted(many, most, "right"))
+        part = np.arange(at[low], end)
+        part = part[place[part] < h]
+        mine = hit[part]
+        ours, others = part[mine], part[~mine]
+        width = int(place[part[-1]]) - low + 1
+
+        def counts(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+            table = np.zeros((len(rows) + 1, width), np.int32)
+            np.add.at(table, (np.searchsorted(rows, first_row[of]), place[of] - low), 1)
+            np.add.at(table, (np.searchsorted(rows, behind[of]), place[of] - low), -1)
+            return table[:-1].cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32)
+
+        first = np.arange(low, high, _GROUP)
+        bound = (counts(first, ours) / (n + counts(np.minimum(first + _GROUP, high) - 1, others))).max(axis=1)
+        some = first[bound >= max(best, least)]
+        rows = (some[:, None] + np.arange(_GROUP)).ravel()
+        rows = rows[rows < high]
+        if len(rows):
+            best = max(best, float((counts(rows, ours) / (n + counts(rows, others))).max()))
     return best if best >= least else 0.0
 
 

@@ -19,6 +19,8 @@ from .work import work_table
 
 #: Of a probe's rarest grams, so many must be shared before sets are compared.
 FIRST_SHARED = 4
+#: Probes that look at a window together, about.
+TOGETHER = 64
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -84,17 +86,24 @@ def _in_band(wanted: DataFrame, classes: DataFrame, least: float, most: int) ->
     met = first.select("probe_id", "s", "gram").join(posts, "gram").groupBy("probe_id", "class_id", "at", "s").agg(F.count(F.lit(1)).alias("c")).where("c >= s")
     met = work_table(met.select("probe_id", "class_id", "at"))
     looked_at = _windows(classes.join(met.select("class_id").distinct(), "class_id", "left_semi"), kinds)
-    pairs = met.join(wanted.select("probe_id", "wanted"), "probe_id").join(looked_at, ["class_id", "at"])
-
-    @F.pandas_udf("double")
-    def best(wanted: pd.Series, row: pd.Series) -> pd.Series:
-        def one(a: np.ndarray, b: np.ndarray) -> float:
+    # a window travels once for so many probes, however many meet it
+    blocks = met.groupBy("class_id", "at").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("blocks"))
+    asked = met.join(blocks, ["class_id", "at"]).join(wanted.select("probe_id", "wanted"), "probe_id")
+    asked = asked.groupBy("class_id", "at", F.pmod(F.xxhash64("probe_id"), F.col("blocks"))).agg(F.collect_list(F.struct("probe_id", "wanted")).alias("probes"))
+
+    @F.pandas_udf("array<double>")
+    def best(probes: pd.Series, row: pd.Series) -> pd.Series:
+        def all_of(wanted: np.ndarray, row: np.ndarray) -> list[float]:
+            last = G.last_places(row)
+            kinds = row[last == 0]
             # of the window's kinds enough must be wanted ones, before any stretch is looked at
-            return G.best_extent(a, b, least) if np.isin(a, b).sum() >= least * len(a) - 1e-9 else 0.0
+            return [G.best_extent(a, row, least, last) if np.isin(a, kinds).sum() >= least * len(a) - 1e-9 else 0.0 for a in wanted]
 
-        return pd.Series([one(np.asarray(a), np.asarray(b)) for a, b in zip(wanted, row)], dtype=float)
+        return pd.Series([all_of(a, np.asarray(b)) for a, b in zip(probes, row)], dtype=object)
 
-    found = _spread(pairs).select("probe_id", "class_id", best("wanted", "row").alias("similarity")).where(F.col("similarity") >= least)
+    rows = _spread(asked.select("class_id", "at", "probes").join(looked_at, ["class_id", "at"]))
+    rows = rows.select("class_id", "probes.probe_id", best("probes.wanted", "row").alias("similarity")).select("class_id", F.explode(F.arrays_zip("probe_id", "similarity")).alias("x"))
+    found = rows.select("x.probe_id", "class_id", "x.similarity").where(F.col("similarity") >= least)
     return found.groupBy("probe_id", "class_id").agg(F.max("similarity").alias("similarity"))
 
 

@@ -416,7 +416,7 @@ def quantity_bands(spark, sf_dir):
     """J-10: a range join made equal by exploding the small side's ranges."""
     bands = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("band"), F.explode(F.sequence(F.col("n_nationkey") * 2, F.col("n_nationkey") * 2 + 1)).alias("q"))
     rows = table(spark, sf_dir, "lineitem").select(F.floor("l_quantity").cast("int").alias("q"), "l_extendedprice")
-    return rows.join(M.small(bands), "q").groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    return rows.join(bands, "q").groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
 # ---- time ----------------------------------------------------------------------------------------------------------

@@ -105,7 +105,8 @@ def test_contained_against_every_pair(spark):
         a = rnd.randrange(max(1, len(text) - 20))
         items.append((i, text[a : a + rnd.randrange(15, 40)].strip()))
     items += [(100, "averyveryverylongword"), (101, "ongerword longer"), (102, "short")]
-    docs.append((900, "x averyveryverylongwordy"))
+    items += [(103, "veryverylongwordy aa"), (104, "x averyveryverylongw"), (105, "rdword longerwo"), (106, "a longerwordlonge")]
+    docs += [(900, "x averyveryverylongwordy"), (901, "averyveryverylongwordy aab longerwordlonger"), (902, "cc longerword longerword")]
     got = {tuple(r) for r in M.contained(spark.createDataFrame(docs, "input_id long, key string"), spark.createDataFrame(items, "record_id long, key string")).collect()}
     assert got == {(d, i) for d, t in docs for i, k in items if len(k) >= 15 and k in t}
 
