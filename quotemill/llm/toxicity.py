@@ -1,6 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The lexicon transducer turns the words of a clause into signs (insult with a weight, target, threat, negation, reported speech).
+The lexicon transducer turns the words of a clause into signs (insult with a weight, target, threat, negation, reported speech):
+it cuts off clitics and reads verbs of threats by stem and ending.
 Small machines, each with its own states, read the signs: negation reaches over the next words, reported speech to the end of
 the clause, a target forwards and (over the clause read backwards) to what comes before it. `compose` makes one machine of
 them, whose states are tuples of theirs; an accepting machine then turns its outputs into what the clause says: an insult or
@@ -25,17 +26,76 @@ ENTRIES, LEAST_TEXTS, LEAST_RATIO = 20_000, 4, 20.0
 BEGINNINGS = (4, 5)
 
 # fixed values: words of the closed classes, in English, German, French, Spanish
-TARGETS = frozenset("you your yours he she him her they them their these those people du dich dir ihr euch sie er ihm ihn tu toi te vous il elle ils elles eux usted ustedes él ella ellos ellas".split())
-THREATS = frozenset("kill hurt destroy beat shoot stab burn hang töten schlagen vernichten verletzen tuer frapper détruire blesser matar golpear destruir herir".split())
-NEGATIONS = frozenset("not no never nobody isn't aren't don't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún".split())
+TARGETS = frozenset("you your yours t' he she him her they them their these those people du dich dir ihr euch sie er ihm ihn tu toi te vous il elle ils elles eux usted ustedes él ella ellos ellas".split())
+#: Verbs of threats: stems, each with the endings of its kind.
+STEMS = {
+    "en": "kill destroy burn|beat shoot hang hurt|stabb|stab hung shot beaten burnt",
+    "de": "töt getöt vernicht|verletz|schlag schläg|schlug geschlagen",
+    "fr": "tu frapp bless|détrui|détruir",
+    "es": "mat golpe|destru her|destruy hier|hir",
+}
+ENDINGS = {
+    "en": "- s ed ing|- s ing|ed ing|- s",
+    "de": "e est et en ete etest eten end|e t en te test ten end|e t en st end|- en st",
+    "fr": "e es ons ez ent er é és ée ées ais ait aient ant erai eras era erons erez eront|s t sons sez sent sait sant t te ts|e ai as a ons ez ont",
+    "es": "o as a amos an ar é aste ó aron aba aban aré arás ará aremos arán ando ado e es en|ir í iste imos ido iré irás irá iremos irán|o es e en ó eron endo a as an|ió ieron iendo",
+}
+#: Forms that are other words as well.
+NOT_THREATS = frozenset("mate mates blesses".split())
+#: Spanish pronouns that hang on infinitives and gerunds.
+HANGING = ("te", "os", "lo", "la", "le", "los", "las", "les")
+NEGATIONS = frozenset("not no never nobody n't n' nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún".split())
 REPORTS = frozenset("said says say wrote called calls quoted reported claims sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split())
 
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _REACH = {"negated": 3, "aimed": 6}
 MARKS = ("plain", "aimed", "negated", "reported", "threat", "clauses")
 
 
+class Endings:
+    """A transducer of verbs: a stem leads to the state of its kind, which accepts that kind's endings."""
+
+    def __init__(self, stems: dict[str, str], endings: dict[str, str]):
+        self.kinds: dict[str, list[frozenset[str]]] = {}
+        for lang, groups in stems.items():
+            for group, ends in zip(groups.split("|"), endings[lang].split("|")):
+                kind = frozenset("" if e == "-" else e for e in ends.split())
+                for stem in group.split():
+                    self.kinds.setdefault(stem, []).append(kind)
+        self.lengths = sorted({len(x) for x in self.kinds})
+
+    def accepts(self, word: str) -> bool:
+        return word not in NOT_THREATS and any(word[n:] in kind for n in self.lengths for kind in self.kinds.get(word[:n], ()))
+
+    __contains__ = accepts
+
+    def hanging(self, word: str) -> bool:
+        """An infinitive or gerund with a pronoun on it."""
+        return any(word.endswith(p) and word[: -len(p)].endswith(("ar", "ir", "ándo", "iéndo", "ando", "iendo")) and self.accepts(word[: -len(p)].replace("ándo", "ando").replace("iéndo", "iendo")) for p in HANGING)
+
+
+THREATS = Endings(STEMS, ENDINGS)
+
+
+def words_of(low: str) -> list[str]:
+    """Words in lower case, clitics cut off: you 're, is n't, t' es, qu' il."""
+    out = []
+    for word in _WORD.findall(low):
+        word = word.replace("’", "'")
+        if "'" not in word:
+            out.append(word)
+        elif word.endswith("n't") and len(word) > 3:
+            out += [word[:-3], "n't"]
+        else:
+            head, *rest = word.split("'")
+            while rest and len(head) <= 2 and head not in TARGETS:  # an elision: the apostrophe belongs to what stands before it
+                out.append(f"{head}'")
+                head, *rest = rest
+            out += [head, *(f"'{r}" for r in rest)]
+    return out
+
+
 class Lexicon:
     """The first transducer: words to signs."""
 
@@ -50,15 +110,17 @@ class Lexicon:
         return found
 
     def any_in(self, words: set[str]) -> bool:
-        return not words.isdisjoint(self.words) or not words.isdisjoint(THREATS) or any(not {w[:n] for w in words}.isdisjoint(self.beginnings) for n in BEGINNINGS)
+        return not words.isdisjoint(self.words) or any(THREATS.accepts(w) or THREATS.hanging(w) for w in words) or any(not {w[:n] for w in words}.isdisjoint(self.beginnings) for n in BEGINNINGS)
 
     def signs(self, words: list[str]) -> list[tuple[str, float]]:
         out = []
         for w in words:
             if weight := self.insult(w):
                 out.append(("insult", weight))
+            elif THREATS.hanging(w):
+                out += [("threat", 1.0), ("target", 0.0)]
             else:
-                out.append(("threat", 1.0) if w in THREATS else ("target", 0.0) if w in TARGETS else ("negation", 0.0) if w in NEGATIONS else ("report", 0.0) if w in REPORTS else ("", 0.0))
+                out.append(("threat", 1.0) if THREATS.accepts(w) else ("target", 0.0) if w in TARGETS else ("negation", 0.0) if w in NEGATIONS else ("report", 0.0) if w in REPORTS else ("", 0.0))
         return out
 
 
@@ -130,9 +192,9 @@ def marks(text: str | None, lexicon: Lexicon) -> list[float]:
     """Of a whole text: log(1 + weight) for each mark."""
     low = (text or "").lower()
     total = np.zeros(len(MARKS))
-    if lexicon.any_in(set(_WORD.findall(low))):  # cut as the clauses' words are
+    if lexicon.any_in(set(words_of(low))):  # cut as the clauses' words are
         for clause in _CLAUSE.split(low):
-            if found := clause_marks(_WORD.findall(clause), lexicon):
+            if found := clause_marks(words_of(clause), lexicon):
                 total += list(found.values())
     return np.log1p(total).tolist()
 

@@ -107,6 +107,21 @@ def test_toxicity_grammar():
     assert not any(mark("a fine day, you see").values()) and not any(mark("").values())
 
 
+def test_toxicity_verbs_by_stem_and_ending_and_clitics():
+    lexicon = toxicity.Lexicon({"idiot": 3.0}, {})
+    mark = lambda text: dict(zip(toxicity.MARKS, np.expm1(toxicity.marks(text, lexicon)).round(6)))
+    for text in ("I am killing you", "he kills them", "they shot her", "I'll burn your", "ich töte dich", "er schlägt euch", "sie verletzten ihn", "je vais te frapper, toi", "ils tuent vous", "te mataré", "voy a matarte", "golpeándolos", "they've been beaten"):
+        assert mark(text)["threat"] == 1, text
+    for text in ("I'm not killing you", "he isn't hurting them", "je n'ai pas frappé", "her mate hires you", "here he is", "hier ist er", "he said kill them", "you hold the killer whale", "un mat, ils"):
+        assert not mark(text)["threat"], text
+    assert mark("you're an idiot")["aimed"] == mark("you’re an idiot")["aimed"] == mark("t'es idiot")["aimed"] == mark("he's an idiot")["aimed"] == 3
+    assert mark("it isn't idiot talk")["negated"] == 3 and mark("l'idiot")["plain"] == 3
+    assert toxicity.words_of("qu'il n'est d'j'x don't o'clock y'all's") == ["qu'", "il", "n'", "est", "d'", "j'", "x", "do", "n't", "o'", "clock", "y'", "all", "'s"]
+    every = [stem + ("" if e == "-" else e) for lang, groups in toxicity.STEMS.items() for g, ends in zip(groups.split("|"), toxicity.ENDINGS[lang].split("|")) for stem in g.split() for e in ends.split()]
+    assert all((w in toxicity.THREATS) == (w not in toxicity.NOT_THREATS) for w in every)
+    assert not any(w + "x" in toxicity.THREATS for w in every)
+
+
 def test_toxicity_words_at_other_signs():
     lexicon = toxicity.Lexicon({"idiot": 3.0, "moron": 2.0}, {"scum": 2.0})
     whole = lambda text: np.log1p(sum(np.array(list(m.values())) for c in toxicity._CLAUSE.split(text) if (m := toxicity.clause_marks(toxicity._WORD.findall(c), lexicon))))
