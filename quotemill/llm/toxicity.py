@@ -54,25 +54,18 @@ MARKS = ("plain", "aimed", "negated", "reported", "threat", "clauses")
 
 
 class Endings:
-    """A transducer of verbs: a stem leads to the state of its kind, which accepts that kind's endings."""
+    """A transducer of verbs, a stem and then an ending of its kind; its finite language is spelled out once, as each word is looked up.
+    `hanging`: infinitives and gerunds with a pronoun on them."""
 
     def __init__(self, stems: dict[str, str], endings: dict[str, str]):
-        self.kinds: dict[str, list[frozenset[str]]] = {}
-        for lang, groups in stems.items():
-            for group, ends in zip(groups.split("|"), endings[lang].split("|")):
-                kind = frozenset("" if e == "-" else e for e in ends.split())
-                for stem in group.split():
-                    self.kinds.setdefault(stem, []).append(kind)
-        self.lengths = sorted({len(x) for x in self.kinds})
+        kinds = [(group.split(), ends.split()) for lang, groups in stems.items() for group, ends in zip(groups.split("|"), endings[lang].split("|"))]
+        self.forms = frozenset(stem + ("" if e == "-" else e) for group, ends in kinds for stem in group for e in ends) - NOT_THREATS
+        ends = ("ar", "ir", "ando", "iendo", "endo")
+        open_ = {w for w in self.forms if w.endswith(ends)}
+        self.hanging = frozenset(w + p for v in open_ for w in (v, v.replace("ando", "ándo").replace("endo", "éndo")) for p in HANGING)
 
-    def accepts(self, word: str) -> bool:
-        return word not in NOT_THREATS and any(word[n:] in kind for n in self.lengths for kind in self.kinds.get(word[:n], ()))
-
-    __contains__ = accepts
-
-    def hanging(self, word: str) -> bool:
-        """An infinitive or gerund with a pronoun on it."""
-        return any(word.endswith(p) and word[: -len(p)].endswith(("ar", "ir", "ándo", "iéndo", "ando", "iendo")) and self.accepts(word[: -len(p)].replace("ándo", "ando").replace("iéndo", "iendo")) for p in HANGING)
+    def __contains__(self, word: str) -> bool:
+        return word in self.forms
 
 
 THREATS = Endings(STEMS, ENDINGS)
@@ -80,8 +73,10 @@ THREATS = Endings(STEMS, ENDINGS)
 
 def words_of(low: str) -> list[str]:
     """Words in lower case, clitics cut off: you 're, is n't, t' es, qu' il."""
-    out = []
-    for word in _WORD.findall(low):
+    found, out = _WORD.findall(low), []
+    if "'" not in low and "’" not in low:
+        return found
+    for word in found:
         word = word.replace("’", "'")
         if "'" not in word:
             out.append(word)
@@ -110,17 +105,17 @@ class Lexicon:
         return found
 
     def any_in(self, words: set[str]) -> bool:
-        return not words.isdisjoint(self.words) or any(THREATS.accepts(w) or THREATS.hanging(w) for w in words) or any(not {w[:n] for w in words}.isdisjoint(self.beginnings) for n in BEGINNINGS)
+        return not words.isdisjoint(self.words) or not words.isdisjoint(THREATS.forms) or not words.isdisjoint(THREATS.hanging) or any(not {w[:n] for w in words}.isdisjoint(self.beginnings) for n in BEGINNINGS)
 
     def signs(self, words: list[str]) -> list[tuple[str, float]]:
         out = []
         for w in words:
             if weight := self.insult(w):
                 out.append(("insult", weight))
-            elif THREATS.hanging(w):
+            elif w in THREATS.hanging:
                 out += [("threat", 1.0), ("target", 0.0)]
             else:
-                out.append(("threat", 1.0) if THREATS.accepts(w) else ("target", 0.0) if w in TARGETS else ("negation", 0.0) if w in NEGATIONS else ("report", 0.0) if w in REPORTS else ("", 0.0))
+                out.append(("threat", 1.0) if w in THREATS.forms else ("target", 0.0) if w in TARGETS else ("negation", 0.0) if w in NEGATIONS else ("report", 0.0) if w in REPORTS else ("", 0.0))
         return out
 
 
