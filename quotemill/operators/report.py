@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.spans import quoted_part_col
-from ..functions.text import latin_key, script_language
+from ..functions.text import latin_key, script_language, trimmed
 from ..functions.wording import compared_col
 from .matching import glossary_notes
 
@@ -52,11 +52,13 @@ def display_rank(cands: DataFrame, threshold: int) -> DataFrame:
     return out.withColumn("accepted", (F.col("rank") == 1) & (F.coalesce("confidence", F.lit(0)) >= threshold))
 
 
-def paragraph_in(body: Column, lang: str) -> Column:
-    """D-16: the first paragraph in the language ('ar' or not), else the first; empty without one."""
-    paras = F.filter(F.split(F.coalesce(body, F.lit("")), "\n"), lambda p: F.trim(p) != "")
+def paragraph_in(body: Column, lang: str | None) -> Column:
+    """D-16: the first paragraph in the language ('ar' or not; None: in any), else the first; empty without one."""
+    paras = F.filter(F.split(F.coalesce(body, F.lit("")), "\n"), lambda p: trimmed(p) != "")
+    if lang is None:
+        return F.coalesce(trimmed(F.get(paras, 0)), F.lit(""))
     fit = F.filter(paras, lambda p: (script_language(p) == "ar") == F.lit(lang == "ar"))
-    return F.coalesce(F.trim(F.get(fit, 0)), F.trim(F.get(paras, 0)), F.lit(""))
+    return F.coalesce(trimmed(F.get(fit, 0)), trimmed(F.get(paras, 0)), F.lit(""))
 
 
 def span_union(*parts: tuple[str, DataFrame]) -> DataFrame:

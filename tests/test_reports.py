@@ -91,3 +91,8 @@ def test_sentences_keep_their_first_digits(spark):
     long = "1" + "x" * 200 + " " + "y" * 150 + "1"
     rows = [(f"Short one. {long}", ), (f"One. \u00a0{long}\u3000\nTwo.",)]
     assert [r[0] for r in values(spark, rows, "t string", G.pick_quote(F.col("t")))] == [long, long]
+
+
+def test_first_paragraph_without_letters(spark):
+    rows = [("\u00a0\n 12:34 \nwords of a text",), ("هذه فقرة\nwords",), (None,)]
+    assert values(spark, rows, "b string", R.paragraph_in(F.col("b"), None)) == [("12:34",), ("هذه فقرة",), ("",)]
