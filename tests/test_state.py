@@ -106,3 +106,11 @@ def test_median_sketch(spark):
     rows = spark.range(40_001).select((F.col("id") % 3).cast("string").alias("group"), F.lit(True).alias("ok"), F.lit(False).alias("wrong"), F.col("id").cast("double").alias("ms"))
     total = E.group_metrics(rows, 1000).where("group is null").first()
     assert abs(total.median_ms - 20_000) <= 40_001 / 1000 and E.group_metrics(rows.limit(7)).where("group is null").first().median_ms == 3
+
+
+def test_median_is_exact(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 4 > 0, (F.col("id") % 4).cast("string")).alias("group"), F.lit(True).alias("ok"), F.lit(False).alias("wrong"), F.when(F.col("id") % 8 != 1, F.col("id").cast("double")).alias("ms"))
+    want = {tuple(r) for r in rows.rollup("group").agg(F.count(F.lit(1)), F.expr("percentile(ms, 0.5)")).collect()}
+    for ranks in (10_000, 20):
+        assert {(r.group, r.n, r.median_ms) for r in E.group_metrics(rows, ranks).collect()} == want
+    assert E.group_metrics(rows.withColumn("ms", F.lit(None).cast("double"))).where("n = 40000").first().median_ms is None
