@@ -89,6 +89,23 @@ def test_near_equal_against_every_pair(spark, least):
     assert left == sorted(k or "-" for k in inputs if not any(a == k for a, _ in want))
 
 
+def test_near_pairs_of_all_lengths_with_few_verified():
+    rnd = random.Random(5)
+    seeds = list({"".join(rnd.choice("abcdefgh 🙂") for _ in range(n)) for n in [*range(1, 12), 62, 63, 64, 126, 127, 300, 503, 506, 900] for _ in range(3)})
+    inputs = list({edited(rnd, rnd.choice(seeds)) for _ in range(400)} - {""})
+    for least in (90, 75):
+        got = {(a, b): r for found in G.near_pairs(inputs, seeds, least) for a, b, r in zip(*found)}
+        assert got == {(a, b): S.ratio(a, b) for a in inputs for b in seeds if S.ratio(a, b) >= least}
+    asked = []
+    others = ["".join(rnd.choice("ijklmnop ") for _ in range(80)) for _ in range(300)]
+    kept, G._verified = G._verified, lambda keys, seeds, i, j, least: asked.append(len(i)) or ([], [], [])
+    try:
+        list(G.near_pairs(others, [s for s in seeds if len(s) > 11], 90))
+    finally:
+        G._verified = kept
+    assert sum(asked) == 0
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "key string")
     some = spark.createDataFrame([("abc",)], "key string")
