@@ -26,8 +26,8 @@ def _sayings_sql(name: str, of: str) -> str:
 
 def _sayings(df, id_: str):
     """key and first_id of the different sentences of texts."""
-    pieces = df.select(F.col(id_).alias("id"), F.explode(F.split("text", "[.!?\n]+")).alias("piece"))
-    return pieces.select("id", X.latin_key(F.col("piece"), False).alias("key")).where("key <> ''").groupBy("key").agg(F.min("id").alias("first_id"))
+    pieces = df.select(F.col(id_).alias("id"), F.explode(X.latin_sentence_keys(F.col("text"))).alias("piece"))
+    return pieces.select("id", F.trim("piece").alias("key")).where("key <> ''").groupBy("key").agg(F.min("id").alias("first_id"))
 
 
 #: Characters in common in their order, row by row; SQL has edit distances, but none without substitutions.

@@ -163,3 +163,13 @@ def test_watch(spark, tmp_path, batches):
     q = T.watch(spark.readStream.schema("input_id long, text string").parquet(f"{tmp_path}/in"), corpus, f"{tmp_path}/out", f"{tmp_path}/c")
     q.awaitTermination(180)
     assert [(r.input_id, r.record_id, r.state) for r in spark.read.parquet(f"{tmp_path}/out/*").collect()] == [(7, 1, "verified")]
+
+
+def test_latin_keys_of_whole_texts_and_of_sentences(spark):
+    rnd = __import__("random").Random(6)
+    texts = ["".join(rnd.choice("aZ9 '’‘`´é,.!?\n\t\x0b\u00a0İ") for _ in range(rnd.randrange(60))) for _ in range(200)] + ["", "  a  ", "a , b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), "[’‘`´]", "'"), r"[^a-z0-9'\s]", " "), r"\s+", " "))
+    sentences = F.transform(X.latin_sentence_keys(F.col("t")), lambda k: F.trim(k))
+    rows = df.select(X.latin_key(F.col("t"), False), plain(F.col("t")), sentences, F.transform(F.split("t", r"[.!?\n]+"), lambda p: plain(p))).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in rows)
