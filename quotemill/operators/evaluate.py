@@ -74,10 +74,19 @@ def typo(key: Column, word: Column, salt: str = "") -> Column:
     return F.when(F.length(word) < 4, word).when(how == 0, dropped).when(how == 1, swapped).otherwise(form)
 
 
+def _once(c: Column, f) -> Column:
+    """f of a column that f looks at several times but that is worked out once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _in_one_word(key: Column, text: Column, salt: str, change) -> Column:
-    w = F.split(text, " ")
-    at = pick(key, f"word{salt}", F.size(w))
-    return F.array_join(F.transform(w, lambda x, i: F.when(i == at, change(x)).otherwise(x)), " ")
+    # a lambda evaluates what it refers to beside its element anew: the words, their place and the word stand in lambdas of one element each
+    def changed(p: Column) -> Column:
+        w, at = p["w"], p["at"]
+        word = F.transform(F.slice(w, at + 1, F.lit(1)), change)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), at), word, F.slice(w, at + 2, F.size(w))), " ")
+
+    return _once(F.split(text, " "), lambda w: _once(F.struct(w.alias("w"), pick(key, f"word{salt}", F.size(w)).alias("at")), changed))
 
 
 # fixed values: what is written around a quotation

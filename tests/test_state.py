@@ -114,3 +114,13 @@ def test_median_is_exact(spark):
     for ranks in (10_000, 20):
         assert {(r.group, r.n, r.median_ms) for r in E.group_metrics(rows, ranks).collect()} == want
     assert E.group_metrics(rows.withColumn("ms", F.lit(None).cast("double"))).where("n = 40000").first().median_ms is None
+
+
+def test_forms_of_a_long_text_in_time(spark):
+    import time
+
+    rows = spark.createDataFrame([(i, " ".join(f"word{j}" for j in range(60_000))) for i in range(4)], "record_id long, key string")
+    start = time.time()
+    for r in rows.select("key", *(E.FORMS[f](F.col("record_id"), F.col("key")).alias(f) for f in ("variant", "misquote"))).collect():
+        assert sum(a != b for a, b in zip(r.key.split(" "), r.misquote.split(" "))) == 1 and r.variant != r.key
+    assert time.time() - start < 60
