@@ -23,10 +23,24 @@ def _place(gram: str) -> int:
     return int(hashlib.md5(gram.encode()).hexdigest()[:8], 16) % DIMS
 
 
+#: Places of the ASCII trigrams that a worker has met; -1 for others.
+_PLACES = np.full(1 << 21, -1, np.int16)
+
+
 def embedded(text: str) -> np.ndarray:
     """C-15 of one text."""
     text = text.ljust(3)
-    out = np.bincount([_place(text[i : i + 3]) for i in range(len(text) - 2)], minlength=DIMS).astype(float)
+    if text.isascii():
+        x = np.frombuffer(text.encode(), np.uint8).astype(np.int32)
+        codes = (x[:-2] << 14) | (x[1:-1] << 7) | x[2:]
+        places = _PLACES[codes]
+        if (places < 0).any():
+            for code in np.unique(codes[places < 0]).tolist():
+                _PLACES[code] = _place(chr(code >> 14) + chr(code >> 7 & 127) + chr(code & 127))
+            places = _PLACES[codes]
+    else:
+        places = [_place(text[i : i + 3]) for i in range(len(text) - 2)]
+    out = np.bincount(places, minlength=DIMS).astype(float)
     return out / np.linalg.norm(out)
 
 
