@@ -232,9 +232,7 @@ def searched_cards(spark, sf_dir):
 @query()
 def searched_rulings(spark, sf_dir):
     """J-11, D-8, C-2: the four most relevant rulings of each source passage, by searches and the similarity of texts."""
-    found = RU.found_cards(_items(spark, sf_dir), _graded(spark, sf_dir)).where("grade <> ''")
-    rows = found.withColumn("same_book", F.lit(False)).withColumn("same_number", F.lit(False))
-    return RU.rank_rulings(rows, "saying").select("saying", "card_id", "grade", F.round("similarity", 6).alias("similarity"), "rank")
+    return RU.ranked_by_search(_items(spark, sf_dir), _graded(spark, sf_dir).where("grade <> ''")).select("saying", "card_id", "grade", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query()
