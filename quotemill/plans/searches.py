@@ -15,6 +15,7 @@ from ..operators import report as R
 from ..operators import rulings as RU
 from ..operators import similar as Y
 from ..operators import verdict as V
+from ..operators.work import work_table
 from .queries import DOCS, GLOSSARY, ITEMS, KEY, keyed, query, table
 
 # ---- J-14: sayings that the seed has already -----------------------------------------------------------------------
@@ -271,9 +272,9 @@ SELECT doc_id, item, {_reason_sql("en")} AS reason_en, {_reason_sql("ar")} AS re
  concat_ws(' ', {_LABELS_AR} || '.', {_reason_sql("ar")}, CASE WHEN state IN ('verified', 'partial', 'unreliable') AND others > 0 THEN replace({_quote(R.REPLIES["ar"]["more"])}, '%d', others::VARCHAR) END, {_quote(R.REPLIES["ar"]["end"])}) AS reply_ar FROM s""")
 def bilingual_reports(spark, sf_dir):
     """R-1, R-8, C-12 in both languages: documents with the source passages that they hold; confidence is the passage's share of the document."""
-    d, b = keyed(table(spark, sf_dir, "documents"), "doc_id", "input_id"), keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id")
+    d, b = work_table(keyed(table(spark, sf_dir, "documents"), "doc_id", "input_id")), work_table(keyed(table(spark, sf_dir, "benchmark"), "item_id", "record_id"))
     size = lambda df, id_, name: df.select(id_, F.length("key").alias(name))
-    rows = M.contained(d, b).join(size(d, "input_id", "n"), "input_id").join(size(b, "record_id", "m"), "record_id")
+    rows = M.contained(d, b, written=True).join(size(d, "input_id", "n"), "input_id").join(size(b, "record_id", "m"), "record_id")
     rows = rows.withColumn("confidence", F.floor(100 * F.col("m") / F.col("n")).cast("int")).withColumn("state", S.state(F.col("confidence")))
     rows = rows.withColumn("others", F.count(F.lit(1)).over(Window.partitionBy("record_id")) - 1).withColumn("item", F.concat(F.lit("item "), F.col("record_id").cast("string")))
     why = {lang: V.reason(F.col("state"), F.col("confidence"), F.col("item"), lang) for lang in ("en", "ar")}

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,16 @@ def test_empty(spark):
     some = spark.createDataFrame([("abc",)], "key string")
     assert Y.near_equal(none, some).count() == 0 and Y.unseen(some, none).count() == 1
     assert Y.word_similar(some.select(F.lit(1).alias("probe_id"), F.col("key").alias("probe")), none.select(F.lit(1).alias("class_id"), "key"), 0.5).count() == 0
+
+
+def test_run_codes_are_one_number_for_equal_runs(monkeypatch):
+    rnd = random.Random(6)
+    keys = [None, "", "a", " b", "ab ", "é 🙂 c"] + [" ".join(rnd.choice(["ab", "b", "é", "cab", "zz"]) for _ in range(rnd.randrange(9))) for _ in range(300)]
+    for together in (1 << 20, 50, 1):
+        monkeypatch.setattr(G, "_BYTES", together)
+        for width, inner in ((1, False), (3, False), (3, True)):
+            got = [x for at, row, code, size in G.run_codes(pa.array(keys, pa.string()), width, inner) for x in zip((at + row).tolist(), code.tolist(), size.tolist())]
+            words = [(i, k.split(" ")[1:-1] if inner else k.split(" ")) for i, k in enumerate(keys) if k]
+            want = [(i, " ".join(w[j : j + width])) for i, w in words for j in range(len(w) - width + 1)]
+            assert [(i, n) for i, _, n in got] == [(i, len(run.encode())) for i, run in want]
+            assert len({(run, code) for (_, run), (_, code, _) in zip(want, got)}) == len({run for _, run in want}) == len({code for _, code, _ in got})
