@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,35 @@ def test_run_codes_are_one_number_for_equal_runs(monkeypatch):
             want = [(i, " ".join(w[j : j + width])) for i, w in words for j in range(len(w) - width + 1)]
             assert [(i, n) for i, _, n in got] == [(i, len(run.encode())) for i, run in want]
             assert len({(run, code) for (_, run), (_, code, _) in zip(want, got)}) == len({run for _, run in want}) == len({code for _, code, _ in got})
+
+
+def test_bounds_hold_the_best_stretch_and_lose_none():
+    rnd = random.Random(7)
+    texts = keys(rnd, 30, longest=60) + [" ".join(["ab abc bca é"] * 200 + ["baab"] + ["cab aa"] * 150)]  # lines that come again: blocks become larger
+    probes = [np.unique(G.grams(p)) for p in keys(rnd, 25, longest=12) + ["ab baab cab"] if p]
+    asked = G.Queries(probes)
+    for text in filter(None, texts):
+        row = G.grams(text)
+        want = np.array([G.best_extent(p, row) for p in probes])
+        for size in (4, 16):
+            upper, lower = asked.bounds(asked.places(row), G.last_places(row), size, np.arange(len(probes)), np.full(len(probes), 1e-3))
+            assert (lower <= want + 1e-6).all() and (want <= upper + 1e-6).all()
+        least = np.array([rnd.choice([0.2, 0.5, w]) for w in want]).clip(0.05)
+        some = G.candidates(asked, row, least)[0]
+        assert set(np.flatnonzero(want >= least)) <= set(some.tolist())
+        assert [x for x in G.best_extents(probes, row, least)] == [w if w >= x - G.HAIR else 0.0 for w, x in zip(want, least)]
+
+
+def test_top_similar_against_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(Y, "KEYS_TOGETHER", 200)
+    monkeypatch.setattr(Y, "PROBES_TOGETHER", 8)
+    rnd = random.Random(8)
+    texts = keys(rnd, 80, longest=40)
+    probes = keys(rnd, 20, longest=6) + [" ".join(f"{rnd.choice('abc')}{i}xy" for i in range(30))]
+    df = lambda rows, names: spark.createDataFrame(list(enumerate(rows)), names)
+    got = {(r.probe_id, r.rank): (r.record_id, r.similarity) for r in Y.top_similar(df(probes, "probe_id int, probe string"), df(texts, "record_id int, key string"), 0.35, 3).collect()}
+    want = {}
+    for i, p in enumerate(probes):
+        best = sorted((-G.word_similarity(p, t), j) for j, t in enumerate(texts) if p and G.word_similarity(p, t) >= 0.35)[:3]
+        want |= {(i, rank): (j, -s) for rank, (s, j) in enumerate(best, 1)}
+    assert got == want
